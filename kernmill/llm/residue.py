@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kernmill.session import stage
+
 #: Words of the usual made-up Latin.
 FILLER_LATIN = (
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt "
@@ -56,7 +58,7 @@ ERRORS = (
     r"\b[1-9]\d{2}\s*[-–—|:(]*\s*(?:" + REASONS + r")\b",
     r"^\W*(?:http|error|status|code|fehler|erreur|server (?:replied|said|returned|error))\W*(?:code|status|error)?\W*\d{3,5}\b",
     r"^\W*(?:" + REASONS + r")\W*(?:after\b.*|\(.*)?$",
-    r"^\W*(?:page|seite|página|article|file) (?:not found|nicht gefunden|no encontrada)|\bpage (?:demandée )?est introuvable|\bstranica\b|страница не (?:найдена|существует)",
+    r"^\W*(?:page|seite|página|article|file) (?:not found|nicht gefunden|no encontrada)|\bpage (?:demandée )?est introuvable|страница не (?:найдена|существует)",
     r"\bpage (?:that )?(?:you|we) (?:asked for|requested|were looking for|tried)\b|\bcould not be found\W*$(?<!shows.{0,80})|\bpage (?:has been|was) (?:moved|removed|deleted)\W*$",
     r"^\W*access (?:is |was )?denied\b\W*$|\byou (?:do not|don't|need) (?:have )?permission\b|\bpermission denied\W*$",
     r"\bsomething went wrong\b|\b(?:request|connection|session|gateway) (?:has )?(?:timed out|time-?out|expired)\b|\bgateway timeout\b|^\W*too many requests\b",
@@ -80,6 +82,18 @@ LOOSE = (
     r"^\W*(?:error|reference|request id|code|status|warning)\b[\W\d]*$|^\W*(?:test|asdf|qwerty|blah|foo|bar)\b",
 )
 
+#: Every detector above needs one of these words or signs; what has none is not looked at further.
+TRIGGER_WORDS = (
+    "text content description title name here placeholder untitled added written filled done announced paragraph описание "
+    "текст hier einfügen venir compléter ajouter aquí pendiente javascript script scripts cookie cookies js скрипты bad "
+    "unauthorised unauthorized forbidden found gone allowed time timeout conflict requests internal implemented unavailable "
+    "unknown http status code fehler erreur server seite página article file introuvable страница page denied permission "
+    "wrong request connection session gateway site service system warning notice upstream human robot traceback fatal parse uncaught "
+    "verify verifying you your we our us please sorry oops bitte veuillez désolé пожалуйста попробуйте try reload sign log "
+    "come check take click reference test asdf qwerty blah foo bar todo"
+).split()
+TRIGGER_SIGNS = r"[{}<>\[\]%$@_|]|#[A-Z{]|\bNaN\b|\b(?:TODO|FIXME|TBD|TBA)\b|X{3}|(?i:x{4}|undefined|\bnull\b|\bnone\b|\bnil\b)"
+
 MIN_TITLES = 3
 
 
@@ -113,8 +127,11 @@ def segments(merged: DataFrame) -> DataFrame:
 def graded(segs: DataFrame) -> DataFrame:
     """Segments with ``firm`` (kind of residue or null) and ``loose``; others are left out."""
     s = F.col("seg")
-    with_words = segs.withColumn("_w", _words(s))
     w = F.col("_w")
+    known = [*TRIGGER_WORDS, *FILLER_LATIN]
+    called = F.exists(w, lambda x: x.isin(known) | x.endswith("error") | x.endswith("exception"))
+    repeats = (F.size(w) >= 2) & (F.element_at(w, 1) == F.element_at(w, -1))
+    with_words = segs.withColumn("_w", _words(s)).where(s.rlike(TRIGGER_SIGNS) | called | repeats)
     latin = F.size(F.filter(w, lambda x: x.isin(FILLER_LATIN)))
     all_latin = (latin >= 3) & (latin * 2 >= F.size(w))
     # one word over and over: three times, or twice in lower case
@@ -140,7 +157,7 @@ def find_residue(merged: DataFrame, min_titles: int = MIN_TITLES) -> DataFrame:
     """
     g = graded(segments(merged))
     slug = _words(F.regexp_replace(F.coalesce("title", F.lit("")), "_", " "))
-    g = g.withColumn("_slug", slug).withColumn(
+    g = stage(g, "graded").withColumn("_slug", slug).withColumn(
         "_shape", F.xxhash64(F.array_join(F.transform("_w", lambda x: F.when(F.array_contains("_slug", x), "*").otherwise(x)), " "))
     )
     firm = g.where("firm is not null").select("rec_id", "field", F.col("firm").alias("kind"))
