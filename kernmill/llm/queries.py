@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernmill.llm import bpe, overlap, packing
+from kernmill.llm import bpe, encoding, overlap, packing, residue
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def _residue(spark, sf):
+    return residue.find_residue(_read(spark, sf, "merged"))
+
+
+def p3_found(spark, sf):
+    return _residue(spark, sf).select("rec_id", "field")
+
+
+def p3_clean(spark, sf):
+    merged = _read(spark, sf, "merged")
+    return residue.without_residue(merged, residue.find_residue(merged)).select("rec_id", "qid", "title", "desc")
+
+
+def _garbled(spark, sf):
+    items = _read(spark, sf, "items")
+    return encoding.find_garbled(items, encoding.train(items))
+
+
+def p4_found(spark, sf):
+    return _garbled(spark, sf).select("row_id", "field")
+
+
+def p4_restored(spark, sf):
+    return _garbled(spark, sf)
+
+
 def _overlaps(spark, sf):
     cols = ["ex_id", "desc", "contexts", "source"]
     dev, test, train = (_read(spark, sf, t).select(*cols).withColumn("split", F.lit(t)) for t in ("dev", "test", "train"))
@@ -52,6 +78,10 @@ def p8_report(spark, sf):
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_ids": p7_ids,
