@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernmill.llm import bpe, encoding, overlap, packing, residue
+from kernmill.llm import bpe, encoding, overlap, packing, residue, sentences
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -77,6 +77,19 @@ def p8_report(spark, sf):
     return packing.fill_report(packing.pack(bpe.count_tokens(_read(spark, sf, "documents"))))
 
 
+def p9_found(spark, sf):
+    docs = _read(spark, sf, "documents")
+    return sentences.split_documents(docs, sentences.train(docs))
+
+
+def p9_sentences(spark, sf):
+    docs = _read(spark, sf, "documents").select("doc_id", "text")
+    return p9_found(spark, sf).join(docs, "doc_id").select(
+        "doc_id", "char_start",
+        F.substring("text", F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int")).alias("sentence"),
+    )
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_clean": p3_clean,
@@ -88,6 +101,8 @@ QUERIES = {
     "p7_decoded": p7_decoded,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_sentences": p9_sentences,
 }
 
 _P6 = """
