@@ -61,29 +61,49 @@ def salted_lookup(
     return lhs.join(rhs, [key, "_salt"]).drop("_salt")
 
 
-def number_rows(df: DataFrame, key: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """Add ``_rank``: the exact zero-based place of each row within its key.
-
-    ``order`` must be unique within a key for a defined rank; ties are broken
-    arbitrarily but consistently.  Null keys form a key of their own.  No task
-    ever holds more than one input partition's share of a key.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(
+def _placed(df: DataFrame, order: list[str], partitions: int | None) -> DataFrame:
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(
         df.repartitionByRange(n, *[F.col(c) for c in order]).withColumn("_seg", F.spark_partition_id()), "numbered"
     )
-    counts = placed.groupBy("_seg", *key).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def running_total(
+    df: DataFrame, key: list[str], order: list[str], value: str | None = None, name: str = "_rank",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of the key before this one.
+
+    Without ``value`` it is the exact zero-based place of the row.  With an empty key
+    all rows are one sequence.  ``order`` must be unique within a key for a defined
+    result; ties are broken arbitrarily but consistently.  Null keys form a key of
+    their own.  No task ever holds more than one input partition's share of a key.
+    """
+    placed = _placed(df, order, partitions)
+    v = F.col(value) if value else F.lit(1).cast("long")
+    counts = placed.groupBy("_seg", *key).agg(F.sum(v).alias("_n"))
     before = Window.partitionBy(*key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    local = Window.partitionBy("_seg", *key).orderBy(*order)
-    rows = placed.withColumn("_local", F.row_number().over(local) - 1)
+    local = Window.partitionBy("_seg", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("_local", F.coalesce(F.sum(v).over(local), F.lit(0)))
     cond = rows["_seg"] == offsets["_seg"]
     for k in key:
         cond = cond & rows[k].eqNullSafe(offsets[k])
-    return rows.join(offsets, cond).select(
-        *[rows[c] for c in df.columns], (F.col("_off") + F.col("_local")).alias("_rank")
-    )
+    return rows.join(offsets, cond).select(*[rows[c] for c in df.columns], (F.col("_off") + F.col("_local")).alias(name))
+
+
+def number_rows(df: DataFrame, key: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
+    """Add ``_rank``: the exact zero-based place of each row within its key (see ``running_total``)."""
+    return running_total(df, key, order, None, "_rank", partitions)
+
+
+def top_k_per_key(df: DataFrame, key: list[str], order: list, k: int, salts: int = 32) -> DataFrame:
+    """The first ``k`` rows of each key, in two steps so that a hot key is spread over ``salts`` tasks."""
+    salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int")
+    first = Window.partitionBy(*key, "_salt").orderBy(*order)
+    last = Window.partitionBy(*key).orderBy(*order)
+    part = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    return part.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= k).drop("_salt", "_r")
 
 
 def chunk_states(numbered: DataFrame, key: list[str], unit: str, chunk_rows: int = 100_000) -> DataFrame:

@@ -1,8 +1,9 @@
 """All queries outside the optional subpackage, by name."""
 
-from kernmill.plans import structure
+from kernmill.plans import graph, structure
 
-FLAGSHIP = "p2_profile"
+FLAGSHIP = "entity_assemble"
 
-QUERIES = {**structure.QUERIES}
-ORACLE = {**structure.ORACLE}
+_MODULES = (graph, structure)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
