@@ -1,9 +1,9 @@
 """All queries outside the optional subpackage, by name."""
 
-from kernmill.plans import graph, structure
+from kernmill.plans import corpus, graph, structure
 
-FLAGSHIP = "entity_assemble"
+FLAGSHIP = "merged_entities"
 
-_MODULES = (graph, structure)
+_MODULES = (graph, corpus, structure)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
