@@ -24,6 +24,8 @@ BUCKETS = 8192
 TRAIN_ROWS = 3_000
 MIN_ODDS_LEGACY = 4.0
 PRIOR_STRICT_UTF8 = 7.0
+#: Weight of the mean log probability of a restored text against the odds of its chain.
+WEIGHT_EASE = 10.0
 
 #: Fixed values: (codec of the text, codec it was decoded with), applied once or twice.
 CHAINS = {
@@ -64,6 +66,11 @@ CHAINS = {
 CLEAN = "clean"
 CLASSES = (CLEAN, *CHAINS)
 UTF8_CHAINS = frozenset(c for c in CHAINS if c.startswith("utf8"))
+#: Chains through western codecs, where chance sequences are rare.
+WESTERN = frozenset(
+    "utf8-as-cp1252 utf8-as-latin1 utf8-as-macroman utf8-as-cp437 utf8-as-cp850 utf8-as-cp1254 utf8-as-iso8859-15 "
+    "utf8-as-cp1252-twice utf8-as-latin1-twice utf8-as-macroman-twice".split()
+)
 #: Between these codecs upper and lower case change places.
 CASE_SWAPPING = frozenset({"koi8r-as-cp1251", "cp1251-as-koi8r"})
 #: Codecs that leave bytes undefined; decoders in use pass those on as control codes.
@@ -195,10 +202,13 @@ def _single_script(text: str) -> bool:
     return not hit[0] and sum(hit) == 1 and not any(ch.isalpha() and not any(a.match(ch) for a in _ALPHABETS) for ch in text)
 
 
-def _partial(text: str) -> bool:
+PARTIAL_CODECS = ("cp1252", "mac_roman", "cp437", "cp850", "koi8-r", "cp1251")
+
+
+def _partial(text: str, codecs: tuple = PARTIAL_CODECS) -> bool:
     """Whether damaged runs of some UTF-8 chain make up most of the non-ASCII text."""
     strange = sum(not ch.isascii() for ch in text)
-    for wrong in ("cp1252", "mac_roman", "cp437", "cp850", "koi8-r", "cp1251"):
+    for wrong in codecs:
         data = b"".join(ch.encode(wrong, "ignore") or b"?" for ch in text)
         runs = _UTF8_RUN.findall(data)
         if len(runs) >= 2 and 2 * sum(map(len, runs)) >= strange:
@@ -214,20 +224,26 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
     if not text or text.isascii():
         return CLEAN, None
     odds, ease = model.odds(text), model.ease(text)
-    best = (0.0, CLEAN, None)
+    best = (-np.inf, CLEAN, None)
     for k, c in enumerate(CHAINS, 1):
         legacy = c not in UTF8_CHAINS
-        score = odds[k] - MIN_ODDS_LEGACY if legacy else odds[k] + PRIOR_STRICT_UTF8
-        if score <= best[0]:
+        if odds[k] + (-MIN_ODDS_LEGACY if legacy else PRIOR_STRICT_UTF8) <= 0:
             continue
         fixed = restore(text, c)
-        if fixed is None or _mixed(fixed) or model.ease(fixed) <= ease:
+        if fixed is None or _mixed(fixed):
+            continue
+        # several intact sequences of a western chain speak for themselves, else the result must read better
+        lost = sum(ord(ch) > 127 for ch in fixed)
+        gained = model.ease(fixed)
+        if gained <= ease and not (c in WESTERN and lost >= 2):
             continue
-        if legacy and (not _single_script(fixed) or _partial(text)):
+        if legacy and (not _single_script(fixed) or _partial(text, ("cp1252",))):
             continue
         if c in CASE_SWAPPING and not _SWAPPED_CASE.search(text):
             continue
-        best = (score, c, fixed)
+        score = odds[k] + (0 if legacy else PRIOR_STRICT_UTF8) + WEIGHT_EASE * gained
+        if score > best[0]:
+            best = (score, c, fixed)
     if best[1] != CLEAN:
         return best[1], best[2]
     if _LOSSY.search(text) or _partial(text):

@@ -2,8 +2,9 @@
 
 Each arriving item goes to the fill level that makes the sum of squared numbers of
 open containers per level smallest; a level array holds those numbers.  Shards of
-bounded size pack independently, then the containers they leave open are packed
-as items once more, so that the loss at shard ends does not stay.
+bounded size pack independently; the items of containers they leave with more than
+a little room are then dealt out anew and packed together, so that the loss at
+shard ends does not stay.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from kernmill.session import stage
 
 CAPACITY = 2048
 SHARD_ITEMS = 40_000
+#: Containers filled less than this are packed anew in the second round.
+GOOD_FILL = 0.97
 
 
 class SumOfSquares:
@@ -100,17 +103,13 @@ def pack(
     items = stage(items.withColumn("row", F.monotonically_increasing_id()), "items")
     whole = items.where(F.col("size") >= capacity).withColumn("shard", F.lit(-1)).withColumn("box", F.col("row"))
     first = stage(_pack(items.where(F.col("size") < capacity), ["row"], capacity, shard_items).unionByName(whole), "boxes")
-    fills = first.groupBy("shard", "box").agg(F.sum("size").alias("size"))
-    left_open = stage(
-        fills.where(F.col("size") < capacity).select(F.col("shard").alias("s1"), F.col("box").alias("b1"), "size"), "open"
-    )
-    merged = _pack(left_open, ["s1", "b1"], capacity, shard_items).select(
-        F.col("s1").alias("shard"), F.col("b1").alias("box"), F.concat_ws("-", F.lit("m"), "shard", "box").alias("container")
-    )
-    closed = F.concat_ws("-", F.lit("c"), "shard", "box")
-    return first.join(merged, ["shard", "box"], "left").select(
-        id_col, "part", "row", "size", F.coalesce("container", closed).alias("container")
-    )
+    fills = first.groupBy("shard", "box").agg(F.sum("size").alias("fill"))
+    good = fills.where(F.col("fill") >= GOOD_FILL * capacity).select("shard", "box")
+    closed = first.join(good, ["shard", "box"]).withColumn("container", F.concat_ws("-", F.lit("a"), "shard", "box"))
+    again = stage(first.join(good, ["shard", "box"], "left_anti").select(*items.columns), "again")
+    packed = _pack(again, ["row"], capacity, shard_items).withColumn("container", F.concat_ws("-", F.lit("b"), "shard", "box"))
+    cols = [id_col, "part", "row", "size", "container"]
+    return closed.select(*cols).unionByName(packed.select(*cols))
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

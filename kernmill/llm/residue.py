@@ -161,7 +161,7 @@ def find_residue(merged: DataFrame, min_titles: int = MIN_TITLES) -> DataFrame:
         "_shape", F.xxhash64(F.array_join(F.transform("_w", lambda x: F.when(F.array_contains("_slug", x), "*").otherwise(x)), " "))
     )
     firm = g.where("firm is not null").select("rec_id", "field", F.col("firm").alias("kind"))
-    loose = g.where("firm is null").select("rec_id", "field", "_shape", "host", F.xxhash64("_slug").alias("_t"),
+    loose = g.where("firm is null").select("rec_id", "field", "_shape", "host", F.xxhash64("title").alias("_t"),
                                             F.size(F.array_intersect("_w", "_slug")).alias("_common"))
     # host evidence: under how many titles and hosts the same shape stands
     seen = (
