@@ -149,8 +149,14 @@ STOPPERS = frozenset(
 _WORD = re.compile(r"[A-Za-z][A-Za-z-]*|[^\sA-Za-z]+")
 
 
+#: Singulars no ending rule gives.
+IRREGULAR = {"species": "specie", "subspecies": "subspecie", "series": "series", "men": "man", "women": "woman", "people": "people"}
+
+
 def singular(word: str) -> str:
     w = word.lower()
+    if w in IRREGULAR:
+        return IRREGULAR[w]
     for end, to, least in (("ies", "y", 5), ("sses", "ss", 5), ("ches", "ch", 5), ("shes", "sh", 5), ("xes", "x", 4)):
         if w.endswith(end) and len(w) >= least:
             return w[: -len(end)] + to

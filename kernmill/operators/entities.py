@@ -21,7 +21,7 @@ def parse_ntriples(lines: DataFrame, require_iri: bool = False) -> DataFrame:
             "pos",
             F.get(t, F.lit(0)).alias("subj"),
             F.get(t, F.lit(1)).alias("rel"),
-            F.array_join(F.slice(t, F.lit(3), F.size(t) - 3), " ").alias("obj"),
+            F.array_join(F.slice(t, F.lit(3), F.greatest(F.size(t) - 3, F.lit(0))), " ").alias("obj"),
         )
         .withColumns({a: X.entity_id(F.col(b), require_iri) for a, b in (("s", "subj"), ("r", "rel"), ("o", "obj"))})
     )
