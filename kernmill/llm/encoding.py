@@ -196,19 +196,26 @@ def _mixed(text: str) -> bool:
     return any(sum(bool(a.search(w)) for a in _ALPHABETS) > 1 for w in re.split(r"[\s\W\d]+", text))
 
 
+_RARE = re.compile("[\u0250-\u036f]")
+_CASE_BREAK = re.compile("[\u0430-\u044f\u0451\u03ac-\u03ce][\u0410-\u042f\u0401\u0386-\u03ab]")
+_WORD_SIGNS = frozenset(" -.,'\u2019\u30fb\u30fc()")
+
+
 def _single_script(text: str) -> bool:
-    """Letters of one non-Latin script only."""
+    """Words of one non-Latin script only: its letters, digits and the usual signs, no capital after a small letter."""
     hit = [bool(a.search(text)) for a in _ALPHABETS]
-    return not hit[0] and sum(hit) == 1 and not any(ch.isalpha() and not any(a.match(ch) for a in _ALPHABETS) for ch in text)
+    if hit[0] or sum(hit) != 1 or _CASE_BREAK.search(text):
+        return False
+    return all(ch in _WORD_SIGNS or ch.isdigit() or any(a.match(ch) for a in _ALPHABETS) for ch in text)
 
 
 PARTIAL_CODECS = ("cp1252", "mac_roman", "cp437", "cp850", "koi8-r", "cp1251")
 
 
-def _partial(text: str, codecs: tuple = PARTIAL_CODECS) -> bool:
+def _partial(text: str) -> bool:
     """Whether damaged runs of some UTF-8 chain make up most of the non-ASCII text."""
     strange = sum(not ch.isascii() for ch in text)
-    for wrong in codecs:
+    for wrong in PARTIAL_CODECS:
         data = b"".join(ch.encode(wrong, "ignore") or b"?" for ch in text)
         runs = _UTF8_RUN.findall(data)
         if len(runs) >= 2 and 2 * sum(map(len, runs)) >= strange:
@@ -235,9 +242,9 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
         # several intact sequences of a western chain speak for themselves, else the result must read better
         lost = sum(ord(ch) > 127 for ch in fixed)
         gained = model.ease(fixed)
-        if gained <= ease and not (c in WESTERN and lost >= 2):
+        if gained <= ease and not (c in WESTERN and lost >= 2 and not _RARE.search(fixed)):
             continue
-        if legacy and (not _single_script(fixed) or _partial(text, ("cp1252",))):
+        if legacy and not _single_script(fixed):
             continue
         if c in CASE_SWAPPING and not _SWAPPED_CASE.search(text):
             continue
