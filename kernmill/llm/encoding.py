@@ -186,6 +186,22 @@ def fit(values: list[str]) -> Model:
     return model
 
 
+def _sequence_pattern(codec: str) -> str:
+    """Characters that a lead byte and a continuation byte of UTF-8 turn into under a single-byte codec."""
+    as_set = lambda bs: "[" + re.escape("".join(_decode(bytes((b,)), codec) or "" for b in bs)) + "]"
+    return as_set(range(0xC2, 0xF5)) + as_set(range(0x80, 0xC0))
+
+
+#: What no chain leaves without a trace of: a decoded UTF-8 sequence, ideographs, Latin-1 signs without Latin letters,
+#: the lead bytes of kana, swapped case.
+_SUSPECT = re.compile(
+    "|".join(
+        [_sequence_pattern(c) for c in sorted({w for steps in CHAINS.values() for o, w in steps if o == "utf-8"} - {"gbk", "cp932", "big5"})]
+        + ["[\u3400-\u9fff\uff61-\uff9f\ue000-\uf8ff]", "^[^A-Za-z]*[\x80-\xff][^A-Za-z]*$", "[\u0192\u201a\x82\x83]",
+           "[\u0430-\u044f\u0451][\u0410-\u042f\u0401]"]
+    )
+)
+
 _ALPHABETS = (re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]"), re.compile("[\u0370-\u03ff]"), re.compile("[\u0400-\u052f]"),
               re.compile("[\u3041-\u30ff\u3400-\u9fff]"))
 _SWAPPED_CASE = re.compile("[\u0430-\u044f\u0451][\u0410-\u042f\u0401]")
@@ -230,6 +246,8 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
     """
     if not text or text.isascii():
         return CLEAN, None
+    if not (_SUSPECT.search(text) or _LOSSY.search(text)):
+        return CLEAN, None
     odds, ease = model.odds(text), model.ease(text)
     best = (-np.inf, CLEAN, None)
     for k, c in enumerate(CHAINS, 1):
