@@ -172,17 +172,18 @@ class Model:
 def fit(values: list[str]) -> Model:
     """Fit on values most of which are clean; two rounds, the second without what the first finds garbled."""
     values = sorted({v for v in values if v and not v.isascii()})
-    pool = [v for v in values if not _LOSSY.search(v) and not any(restore(v, c) for c in UTF8_CHAINS)]
-    model = None
+    pool = [v for v in values if not _LOSSY.search(v) and not (_SUSPECT.search(v) and any(restore(v, c) for c in UTF8_CHAINS))]
+    seen: list[list] = [[(i, _features(v)) for i, v in enumerate(pool)]]
+    for c in CHAINS:
+        seen.append([(i, _features(g)) for i, v in enumerate(pool) if (g := garble(v, c)) is not None])
+    kept = set(range(len(pool)))
     for _ in range(2):
-        seen: list[list] = [[_features(v) for v in pool]]
-        for c in CHAINS:
-            seen.append([_features(g) for v in pool if (g := garble(v, c)) is not None])
+        own = [[f for i, f in x if i in kept] for x in seen]
         counts = np.stack([
-            0.05 + np.bincount(np.concatenate(x) if x else np.empty(0, np.int64), minlength=BUCKETS) for x in seen
+            0.05 + np.bincount(np.concatenate(x) if x else np.empty(0, np.int64), minlength=BUCKETS) for x in own
         ])
         model = Model(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
-        pool = [v for v in pool if judge(v, model)[0] == CLEAN]
+        kept = {i for i in kept if judge(pool[i], model)[0] == CLEAN}
     return model
 
 
