@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernmill.operators.skew import hot_keys
+from kernmill.operators.skew import MAX_HOT
 from kernmill.session import stage
 
 THRESHOLD = 0.8
@@ -93,7 +93,7 @@ def class_pairs(evaluation: DataFrame, training: DataFrame, threshold: float = T
     e_tok = evaluation.select("cls", F.explode("bag").alias("tok"))
     # how often each evaluation word stands in training classes
     e_words = e_tok.select("tok").distinct()
-    freq = t_tok.join(e_words, "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
+    freq = stage(t_tok.join(e_words, "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("f")), "wordfreq")
     ranked = (
         e_tok.join(freq, "tok", "left")
         .groupBy("cls")
@@ -108,7 +108,9 @@ def class_pairs(evaluation: DataFrame, training: DataFrame, threshold: float = T
                       near.alias("near")).select("e_cls", "e_words", "need", "tok", F.explode("near").alias("size")), "probe",
     )
     scan = t_tok.withColumn("size", size_class(F.col("words")))
-    hot = hot_keys(scan.join(probe.select("tok").distinct(), "tok", "left_semi"), "tok", HOT_ROWS)
+    # the words that meet many training classes: their number is bounded, and so is what the driver gets
+    crowded = freq.where(F.col("f") > HOT_ROWS).join(probe.select("tok").distinct(), "tok", "left_semi")
+    hot = {r["tok"]: r["f"] for r in crowded.orderBy(F.desc("f")).limit(MAX_HOT).collect()}
     salt_p, salt_s = F.array(F.lit(0)), F.lit(0)
     if hot:
         n_of = F.coalesce(F.element_at(
