@@ -11,7 +11,10 @@ from kernmill import schemas
 from kernmill.functions import tokens as K
 from kernmill.functions import text as X
 from kernmill.operators import corpus as C
+from kernmill.operators.articles import build_articles
 from kernmill.operators.entities import last_values
+from kernmill.plans import pipeline
+from kernmill.plans.corpus import _wiki_tables
 from kernmill.session import shared_dir
 from kernmill.sources import readers, writers
 from kernmill.streaming import triples as stream
@@ -93,6 +96,23 @@ def link_paragraphs(spark, sf):
     )
 
 
+def built_articles(spark, sf):
+    """Articles with sentences and links from the extracted wiki pages."""
+    titles = C.title_map(*_wiki_tables(spark, sf)[:2])
+    a = build_articles(wikitext_pages(spark, sf).withColumn("id", F.col("id").cast("long")), titles)
+    return a.select("qid", "pid", "title", F.array_join(F.flatten("text"), "|").alias("text"), F.to_json("link").alias("link"))
+
+
+def desc_dataset(spark, sf):
+    d = pipeline.make_desc_dataset(_read(spark, sf, "merged"))
+    return d.select("rec_id", "split", F.size("contexts").alias("n_contexts"))
+
+
+def category_dataset(spark, sf):
+    d = pipeline.make_category_dataset(_read(spark, sf, "merged").select("rec_id", "qid", "desc", "contexts"), 50, 50)
+    return d.select("rec_id", "category", "split", F.size("contexts").alias("n_contexts"))
+
+
 def head_noun(spark, sf):
     return _read(spark, sf, "merged").select("rec_id", K.head_nouns(F.col("desc")).alias("category"))
 
@@ -153,13 +173,17 @@ def stream_triple_freq(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     wikitext_pages, wikitext_documents, wikitext_html, doc_lines, doc_json, tokenize_sentences, tokenize_desc, link_paragraphs,
-    head_noun, json_roundtrip, keyed_json_roundtrip, tsv_roundtrip, title_map_roundtrip, xml_pages, stream_triple_freq,
+    built_articles, desc_dataset, category_dataset, head_noun, json_roundtrip, keyed_json_roundtrip, tsv_roundtrip, title_map_roundtrip, xml_pages, stream_triple_freq,
 )}
 
 ORACLE = {
     "wikitext_pages": """SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(title, 'Untitled') AS title,
   coalesce(title, 'Untitled') || chr(10) || chr(10) || 'Village in north: [[' || coalesce(title, 'Untitled') || '|' || coalesce(title, 'Untitled') ||
   ']] lies by [[river|the rivers]].' || chr(10) || chr(10) || 'It has 5two & "more" rows. ' || chr(10) || 'first/second/other; XIV, 3, x; nowhere; .' || chr(10) AS text FROM documents""",
+    "desc_dataset": """WITH e AS (SELECT rec_id, len(list_filter(contexts, lambda x: x.sentence <> '' AND x.span."end" >= x.span."begin")) AS n_contexts FROM merged
+  WHERE "desc" <> '' AND NOT contains(lower("desc"), 'wikipedia') AND NOT contains(lower("desc"), 'wikimedia')),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42' || rec_id), rec_id) AS r, floor(count(*) OVER () * 10 / 2 * 0.01) AS k FROM e WHERE n_contexts > 0)
+SELECT rec_id, CASE WHEN r <= k THEN 'dev' WHEN r <= 2 * k THEN 'test' ELSE 'train' END AS split, n_contexts::INT AS n_contexts FROM r""",
     "json_roundtrip": """SELECT qid, name, "desc", CASE WHEN aka IS NOT NULL THEN array_to_string(list_transform(aka, lambda x: coalesce(x, '')), '|') END AS aka,
   freq.triple AS triple FROM items WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY row_id DESC) = 1""",
     "keyed_json_roundtrip": 'SELECT qid, name, "desc" FROM properties WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY row_id DESC) = 1',

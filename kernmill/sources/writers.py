@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_jsonlines(df: DataFrame, path: str, compression: str = "none", files: int = 0) -> None:
+def write_jsonlines(df: DataFrame, path: str, compression: str = "none", files: int = 0, max_records: int = 0) -> None:
+    """JSON lines; ``max_records`` starts a new file after that many, ``files`` bounds the number of writers."""
     out = df.coalesce(files) if files else df
-    out.write.mode("overwrite").option("compression", compression).option("ignoreNullFields", "true").json(path)
+    out.write.option("maxRecordsPerFile", max_records).mode("overwrite").option("compression", compression).option("ignoreNullFields", "true").json(path)
 
 
 def write_keyed_json(df: DataFrame, path: str, key: str = "qid") -> None:

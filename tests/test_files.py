@@ -57,3 +57,29 @@ def test_json_and_tsv(spark, tmp_path):
     writers.write_tsv(d, str(tmp_path / "t"), ["qid", "name"])
     assert sorted(map(tuple, readers.read_title_map(spark, str(tmp_path / "t")).collect())) == [("Q1", "a b"), ("Q2", 'q"')]
     assert writers.write_once(d, str(tmp_path / "p")) and not writers.write_once(d, str(tmp_path / "p"))
+
+
+def test_articles_from_pages(spark):
+    from kernmill.operators.articles import build_articles
+
+    pages = spark.createDataFrame(
+        [(1, "big city", "big city\n\nThe [[big city|Big City]] lies by [[sea|the sea]]. It saw [[sea|a sea]].\n\n[[none|Nothing]] else."),
+         (2, "unknown", "unknown\n\nx"), (3, "sea", "sea\n"), (4, None, "a\n\nb"), (5, "big city", None)], "id long, title string, text string")
+    titles = spark.createDataFrame([("Big_city", "Q1"), ("Sea", "Q2"), (None, "Q3"), ("Big_city", "Q1")], "title string, qid string")
+    rows = build_articles(pages, titles).collect()
+    assert [(r["qid"], r["pid"], r["text"]) for r in rows] == [("Q1", 1, [["The Big City lies by the sea .", "It saw a sea ."], ["Nothing else ."]])]
+    assert {k: (v["para"], v["sent"], v["span"]["begin"], v["span"]["end"]) for k, v in rows[0]["link"].items()} == {"Q1": (0, 0, 1, 2), "Q2": (0, 1, 2, 3)}
+    assert build_articles(pages.limit(0), titles).count() == 0
+
+
+def test_stages_end_to_end(spark, tmp_path):
+    from kernmill.plans import pipeline
+
+    (tmp_path / "x.nt").write_text(NT)
+    items, props, triples = pipeline.extract_entities(spark, str(tmp_path / "x.nt"))
+    assert [(r["qid"], r["name"]) for r in items.collect()] == [("Q1", "won")] and props.count() == 0 and triples.count() == 2
+    (tmp_path / "d.xml").write_text(DUMP)
+    pages = pipeline.extract_wiki(spark, str(tmp_path / "d.xml"))
+    titles = spark.createDataFrame([("A_&_B", "Q1")], "title string, qid string")
+    art = pipeline.build_articles(pages.select("id", "title", "text"), titles)
+    assert art.collect()[0]["text"] == [["A is ."], ["See Cs ."]]
