@@ -129,14 +129,23 @@ def context_lists(rows: DataFrame, part_size: int = 1000) -> DataFrame:
 def link_triples(articles: DataFrame, triples: DataFrame) -> DataFrame:
     """``qid, subj, rel, obj, pos``: triples between an article and its link targets, either way round.
 
-    Equi-joins in both directions; a self-link finds a self-loop twice.
+    One equi-join over the triples seen from both ends; a self-link finds a self-loop twice.
     """
     links = articles.select("qid", F.explode(F.map_keys("link")).alias("target"))
-    t = triples.where("subj is not null and rel is not null and obj is not null").select("pos", "subj", "rel", "obj")
-    fwd = links.join(t, (links["qid"] == t["subj"]) & (links["target"] == t["obj"]))
-    bwd = links.join(t, (links["qid"] == t["obj"]) & (links["target"] == t["subj"]))
-    cols = ["qid", "subj", "rel", "obj", "pos"]
-    return fwd.select(*cols).unionAll(bwd.select(*cols))
+    return links.join(both_ways(triples), ["qid", "target"]).select("qid", "subj", "rel", "obj", "pos")
+
+
+def both_ways(triples: DataFrame) -> DataFrame:
+    """Each complete triple seen from its subject and from its object: ``qid, target, as_subject`` beside its parts.
+
+    One scan serves lookups in both directions; a self-loop gives two rows.
+    """
+    ends = F.array(
+        F.struct(F.col("subj").alias("qid"), F.col("obj").alias("target"), F.lit(True).alias("as_subject")),
+        F.struct(F.col("obj").alias("qid"), F.col("subj").alias("target"), F.lit(False).alias("as_subject")),
+    )
+    t = triples.where("subj is not null and rel is not null and obj is not null")
+    return t.select("pos", "subj", "rel", "obj", F.inline(ends))
 
 
 def merge_entities(

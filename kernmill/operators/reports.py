@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernmill.functions import text as X
-from kernmill.operators.corpus import link_rows
+from kernmill.operators.corpus import both_ways, contexts
 from kernmill.operators.skew import running_total
 from kernmill.session import stage, unstage
 
@@ -17,11 +17,8 @@ def _valid(triples: DataFrame) -> DataFrame:
 
 def related_triples(articles: DataFrame, triples: DataFrame) -> DataFrame:
     """``qid, pos``: the triples in which an article is subject or object (a self-loop once)."""
-    a, t = articles.select("qid"), _valid(triples)
-    return (
-        a.join(t, a["qid"] == t["subj"]).select("qid", "pos")
-        .unionAll(a.join(t.where("subj <> obj"), F.col("qid") == F.col("obj")).select("qid", "pos"))
-    )
+    ends = both_ways(triples).where("as_subject or qid <> target")
+    return ends.select("qid", "pos").join(articles.select("qid"), "qid")
 
 
 def mentioned_pairs(articles: DataFrame, triples: DataFrame) -> DataFrame:
@@ -65,16 +62,10 @@ def title_triples(articles: DataFrame, triples: DataFrame, properties: DataFrame
     The surface is the linked span in the sentence it stands in; relations get their
     names, those without one are left out.
     """
-    links = link_rows(articles)
-    at = articles.select("qid", "text")
-    spans = links.join(at, "qid").select(
-        "qid", "target",
-        X.span_surface(X.sentence_at(F.col("text"), F.col("para"), F.col("sent")), F.col("begin"), F.col("end")).alias("obj_surface"),
-    )
-    t = _valid(triples)
-    fwd = spans.join(t, (F.col("qid") == F.col("subj")) & (F.col("target") == F.col("obj"))).withColumn("as_subject", F.lit(True))
-    bwd = spans.join(t, (F.col("qid") == F.col("obj")) & (F.col("target") == F.col("subj"))).withColumn("as_subject", F.lit(False))
-    both = fwd.unionByName(bwd).where("obj_surface is not null")
+    spans = contexts(articles, include_self=True).select(
+        "qid", "target", X.span_surface(F.col("sentence"), F.col("begin"), F.col("end")).alias("obj_surface")
+    )
+    both = spans.where("obj_surface is not null").join(both_ways(triples), ["qid", "target"])
     names = properties.select(F.col("qid").alias("rel"), F.col("name").alias("rel_name")).where("rel_name is not null")
     return both.join(names, "rel").select("qid", "rel", "rel_name", "obj_surface", "as_subject")
 
