@@ -57,7 +57,7 @@ def _doubling(edges: DataFrame) -> tuple[DataFrame, int]:
             return state, k
         open_before = n_open
         gained = state.where("ptr is not null").groupBy("ptr").agg(F.sum("size").alias("gain"))
-        hot = hot_keys(state, "ptr")
+        hot = hot_keys(state, "ptr", rows=n_open)
         jumped = salted_lookup(
             state.where("ptr is not null").select("id", "ptr"),
             state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next")), "ptr", F.col("id"), hot,
@@ -76,7 +76,7 @@ def _doubling(edges: DataFrame) -> tuple[DataFrame, int]:
 def _loop_members(open_nodes: DataFrame) -> DataFrame:
     """Nodes on loops: the stable image of iterating the parent pointer."""
     ptrs = stage(open_nodes.select("id", F.col("ptr").alias("to")), "loops")
-    size = -1
+    size, total = -1, ptrs.count()
     while True:
         image = ptrs.select("to").distinct()
         n = image.count()
@@ -85,7 +85,7 @@ def _loop_members(open_nodes: DataFrame) -> DataFrame:
         size = n
         new = stage(
             salted_lookup(ptrs, ptrs.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", F.col("id"),
-                          hot_keys(ptrs, "to")).select("id", F.col("next").alias("to")), "loops",
+                          hot_keys(ptrs, "to", rows=total)).select("id", F.col("next").alias("to")), "loops",
         )
         unstage(ptrs)
         ptrs = new
@@ -133,7 +133,8 @@ def build_forest(edges: DataFrame) -> Forest:
     )
     heads = placed.where("id = chain").select(F.col("id").alias("chain"), F.col("up").alias("above"))
     up_chain = placed.select(F.col("id").alias("above"), F.col("chain").alias("chain_up"))
-    hung = salted_lookup(heads, up_chain, "above", F.col("chain"), hot_keys(heads, "above")).select(
+    n = placed.count()
+    hung = salted_lookup(heads, up_chain, "above", F.col("chain"), hot_keys(heads, "above", rows=n)).select(
         "chain", "above", "chain_up"
     )
     info = stage(members.join(hung, "chain", "left"), "chaininfo")
@@ -144,7 +145,7 @@ def build_forest(edges: DataFrame) -> Forest:
     while True:
         parents = level.select(F.col("chain").alias("chain_up"), F.col("members").alias("m_up"), F.col("prefix").alias("p_up"))
         nxt = stage(
-            salted_lookup(below, parents, "chain_up", F.col("chain"), hot_keys(below, "chain_up")).select(
+            salted_lookup(below, parents, "chain_up", F.col("chain"), hot_keys(below, "chain_up", rows=n)).select(
                 "chain", "members",
                 F.concat("p_up", F.slice("m_up", F.lit(1), F.array_position("m_up", F.col("above")).cast("int"))).alias("prefix"),
             ), "level",

@@ -21,12 +21,16 @@ from kernmill.session import stage
 MAX_HOT = 256
 
 
-def hot_keys(df: DataFrame, key: str, floor: int = 50_000) -> dict:
+def hot_keys(df: DataFrame, key: str, floor: int = 50_000, rows: int | None = None) -> dict:
     """Keys of ``df`` with more than ``floor`` rows, mapped to their counts.
 
+    Where ``rows``, a known bound on the rows of ``df``, is no more than that, there is none.
+
     At most ``MAX_HOT`` keys come back (the largest), so what reaches the driver
     has a fixed bound; counting combines map-side.  Null keys are left out.
     """
+    if rows is not None and rows <= floor:
+        return {}
     top = (
         df.where(F.col(key).isNotNull())
         .groupBy(key)

@@ -28,6 +28,17 @@ def get_spark(app: str = "kernmill", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for a pass that computes much per row.
+
+    A table in fewer splits than there are cores is dealt out to all of them; larger
+    tables are read as they lie.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
