@@ -15,7 +15,7 @@ from kernmill.operators.articles import build_articles
 from kernmill.operators.entities import last_values
 from kernmill.plans import pipeline
 from kernmill.plans.corpus import _wiki_tables
-from kernmill.session import shared_dir
+from kernmill.session import read_spread, shared_dir
 from kernmill.sources import readers, writers
 from kernmill.streaming import triples as stream
 from kernmill.wikitext import extract, markup
@@ -33,7 +33,7 @@ TEMPLATES = {
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    return read_spread(spark, f"{sf}/{table}.parquet")
 
 
 def _folder(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernmill.operators import hierarchy, hotkeys, nested
+from kernmill.session import read_spread
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -13,7 +14,7 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def p1_found(spark, sf):
-    return nested.usable_entries(_read(spark, sf, "merged_raw"))
+    return nested.usable_entries(read_spread(spark, f"{sf}/merged_raw.parquet"))
 
 
 def p1_entities(spark, sf):
