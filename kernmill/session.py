@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -51,7 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     jdir = sc.getCheckpointDir()
     if jdir is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kernmill-"))
+        own = tempfile.mkdtemp(prefix="kernmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         jdir = sc.getCheckpointDir()
     return jdir
 
@@ -66,16 +70,33 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _staged.append(path)
     out = spark.read.schema(schema).parquet(path)
     out._kernmill_path = path
     return out
 
 
+_staged: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete every staged table of this process; call it once the results that read them are written."""
+    n = len(_staged)
+    while _staged:
+        _delete(spark, _staged.pop())
+    return n
+
+
 def unstage(df: DataFrame | None) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     path = getattr(df, "_kernmill_path", None)
     if path is None:
         return
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(df.sparkSession, path)
+    if path in _staged:
+        _staged.remove(path)

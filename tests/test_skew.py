@@ -76,3 +76,16 @@ def test_profile_against_brute_force(spark):
 def test_profile_of_nothing(spark):
     assert _profile(spark, []) == {}
     assert _profile(spark, [(None, None, None, None, None, None)]) == {}
+
+
+def test_staged_tables_can_be_released(spark):
+    import os
+
+    from kernmill.session import release_staged, stage, unstage
+
+    release_staged(spark)
+    a, b = stage(spark.range(3).toDF("x")), stage(spark.range(4).toDF("x"))
+    where = b._kernmill_path.removeprefix("file:")
+    assert a.count() == 3 and os.path.isdir(where)
+    unstage(a)
+    assert release_staged(spark) == 1 and not os.path.isdir(where)
