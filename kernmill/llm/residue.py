@@ -1,11 +1,13 @@
 """Template residue, filler text, error pages and script notices (problem 3).
 
 Every description and sentence is a segment.  Detectors of two grades look at it:
-firm ones (placeholder syntax, filler Latin, error responses, script notices) name
-it by themselves; loose ones (text that addresses a reader, retry advice, bare
-labels) only if the evidence of all records agrees: the segment, with the terms of
-its record's slug masked, stands under several titles or hosts and shares no term
-with its own title.  All detectors are JVM regular expressions.
+firm ones (placeholder syntax, filler Latin, error responses, script notices, whole
+segments of retry advice) name it by themselves; loose ones (text that addresses a
+reader, bare labels) only if weighed evidence agrees: the segment holds nothing but
+reader's words, stands beside other segments or beside firm residue in its row, and
+stands, with the terms of its record's slug masked, under several titles and hosts.
+It must share no content word with its own title.  All detectors are JVM regular
+expressions.
 """
 
 from __future__ import annotations
@@ -75,6 +77,32 @@ NOTICES = (
     r"\b(?:activer|activez|autoriser)\b[^.]{0,20}\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts?|cookies)\b[^.]{0,20}\b(?:aktivieren|einschalten|erlauben|zulassen)\b|\bbenötigt (?:javascript|scripts?|cookies)|\b(?:active|habilite|activar|habilitar|permita)\b[^.]{0,12}\b(?:javascript|scripts?|cookies)\b|включите (?:javascript|скрипты|cookies)",
 )
 
+_SPAN = r"(?:\d+|a few|an?|some|several) (?:milli)?(?:seconds?|minutes?|hours?|moments?)"
+_WHEN = rf"(?:again|later|soon|shortly|tomorrow|(?:in|after) {_SPAN})"
+
+#: Whole segments that tell a reader what to do next.
+ADVICE = (
+    r"^\W*(?:(?:please|sorry|oops|slow down|wait|check (?:the|your) \w+|(?:reload|refresh) (?:the|this) page)\W+(?:(?:and|then|or)\W+)?)*"
+    rf"(?:try|retry|reload|refresh|come back|check back)(?: (?:it|this|(?:the|this) page))? {_WHEN}(?: {_WHEN})?\W*$",
+    rf"^\W*(?:this|it|loading)(?: page)? (?:may|might|can|could|will) take (?:up to )?{_SPAN}\W*$",
+    r"^\W*(?:пожалуйста\W+)?(?:попробуйте|повторите попытку)\W+(?:позже|снова|ещё раз|еще раз)\W*$",
+    r"^\W*bitte (?:schalten|aktivieren|versuchen|laden|prüfen|warten) sie\b[^.]*\W*$|^\W*veuillez (?:réessayer|patienter|recharger|vérifier)\b[^.]*\W*$",
+)
+
+#: Words that say nothing about a title.
+FUNCTION_WORDS = (
+    "a an the and or of in on at by to for from with as is are was were be it its this that und oder der die das den dem des ein eine "
+    "von zu im am et ou le la les un une des du au aux y o el los las del de en и или в на с по из"
+).split()
+
+#: With function words, all that a segment meant for a reader need hold.
+READER_WORDS = (
+    "you your we our us please sorry oops will ll re can may might try again reload refresh sign log come back check take click here later "
+    "soon shortly wait moment moments minute minutes second seconds few while not do if when working hang tight thank thanks patience "
+    "visiting reference request id error code status warning bitte sie es ein sind wir gleich zurück wieder da veuillez désolé nous "
+    "revenons bientôt пожалуйста попробуйте мы скоро вернёмся вернемся"
+).split()
+
 #: Signs that a segment speaks to a reader rather than about a thing.
 LOOSE = (
     r"\b(?:you|your|we|our|us|please|sorry|oops|bitte|veuillez|désolé|пожалуйста|попробуйте)\b",
@@ -94,6 +122,9 @@ TRIGGER_WORDS = (
 ).split()
 TRIGGER_SIGNS = r"[{}<>\[\]%$@_|]|#[A-Z{]|\bNaN\b|\b(?:TODO|FIXME|TBD|TBA)\b|X{3}|(?i:x{4}|undefined|\bnull\b|\bnone\b|\bnil\b)"
 
+#: Evidence for a loose segment: only reader's words, other segments in the row, firm residue in the row's other field,
+#: each doubling of the titles and of the hosts it stands under; it must reach the sum that ``MIN_TITLES`` titles alone have.
+READER_ONLY, BESIDE_TEXT, BESIDE_FIRM, PER_TITLES, PER_HOSTS = 1.1, 0.5, 0.5, 1.0, 0.25
 MIN_TITLES = 3
 
 
@@ -106,7 +137,7 @@ def _words(text: Column) -> Column:
 
 
 def segments(merged: DataFrame) -> DataFrame:
-    """``rec_id, host, title, field, seg``: each non-blank description and sentence.
+    """``rec_id, host, title, field, seg, beside``: each non-blank description and sentence, and whether the row has others.
 
     Null and blank fields, paragraphs and sentences have none.  Only the columns
     named are read.
@@ -116,16 +147,20 @@ def segments(merged: DataFrame) -> DataFrame:
         F.flatten(F.filter("text", lambda p: p.isNotNull())), lambda s: F.struct(F.lit("text").alias("field"), s.alias("seg"))
     )
     empty = F.array().cast("array<struct<field:string,seg:string>>")
+    filled = F.filter(F.concat(desc, F.coalesce(sents, empty)), lambda x: F.trim(x["seg"]) != "")
     return (
-        merged.select("rec_id", F.col("source").alias("host"), F.coalesce("title", "name").alias("title"),
-                      F.explode(F.concat(desc, F.coalesce(sents, empty))).alias("x"))
-        .select("rec_id", "host", "title", "x.field", "x.seg")
-        .where(F.trim("seg") != "")
-    )
+        merged.select("rec_id", F.col("source").alias("host"), F.coalesce("title", "name").alias("title"), filled.alias("_all"))
+        .select("rec_id", "host", "title", (F.size(F.array_distinct("_all.seg")) > 1).alias("beside"), F.explode("_all").alias("x"))
+        .select("rec_id", "host", "title", "x.field", "x.seg", "beside")
+    )
+
+
+def _slug() -> Column:
+    return F.array_except(_words(F.regexp_replace(F.coalesce("title", F.lit("")), "_", " ")), F.lit(FUNCTION_WORDS))
 
 
 def graded(segs: DataFrame) -> DataFrame:
-    """Segments with ``firm`` (kind of residue or null) and ``loose``; others are left out."""
+    """Segments with ``firm`` (kind of residue or null), ``loose`` and ``reader`` (only reader's words); others are left out."""
     s = F.col("seg")
     w = F.col("_w")
     known = [*TRIGGER_WORDS, *FILLER_LATIN]
@@ -140,11 +175,13 @@ def graded(segs: DataFrame) -> DataFrame:
         F.when(_any(s, PLACEHOLDERS), "placeholder")
         .when(all_latin | same | _any(s, FILLERS, "(?iU)"), "filler")
         .when(_any(s, NOTICES, "(?iU)"), "notice")
+        .when(_any(s, ADVICE, "(?iU)") & ~F.arrays_overlap(w, _slug()), "notice")
         .when(_any(s, ERRORS, "(?iU)") & ~s.rlike(r"(?i)\bshows? (?:an |the )?error"), "error")
     )
     return (
         with_words.withColumn("firm", firm)
         .withColumn("loose", _any(s, LOOSE, "(?iU)"))
+        .withColumn("reader", (_any(s, LOOSE[:2], "(?iU)") | s.rlike(r"\d")) & (F.size(F.array_except(w, F.lit([*READER_WORDS, *FUNCTION_WORDS]))) == 0))
         .where(F.col("firm").isNotNull() | F.col("loose"))
     )
 
@@ -155,23 +192,29 @@ def find_residue(merged: DataFrame, min_titles: int = MIN_TITLES) -> DataFrame:
     ``kind`` is the first in the order placeholder, filler, notice, error, duplicate.
     Repeated rows count as records of their own but as one title in the evidence.
     """
-    g = graded(segments(merged))
-    slug = _words(F.regexp_replace(F.coalesce("title", F.lit("")), "_", " "))
-    g = stage(g, "graded").withColumn("_slug", slug).withColumn(
+    g = stage(graded(segments(merged)), "graded").withColumn("_slug", _slug()).withColumn(
         "_shape", F.xxhash64(F.array_join(F.transform("_w", lambda x: F.when(F.array_contains("_slug", x), "*").otherwise(x)), " "))
     )
     firm = g.where("firm is not null").select("rec_id", "field", F.col("firm").alias("kind"))
-    loose = g.where("firm is null").select("rec_id", "field", "_shape", "host", F.xxhash64("title").alias("_t"),
+    loose = g.where("firm is null").select("rec_id", "field", "_shape", "host", F.xxhash64("title").alias("_t"), "reader", "beside",
                                             F.size(F.array_intersect("_w", "_slug")).alias("_common"))
-    # host evidence: under how many titles and hosts the same shape stands
+    # under how many titles and hosts the same shape stands; an unknown host is none
     seen = (
         loose.select("_shape", "_t", "host").distinct().groupBy("_shape")
-        .agg(F.count_distinct("_t").alias("titles"), F.count_distinct("host").alias("hosts"))
-        .where(F.col("titles") >= min_titles)
+        .agg(F.count_distinct("_t").alias("titles"), F.greatest(F.count_distinct("host"), F.lit(1)).alias("hosts"))
     )
-    dup = loose.where("_common = 0").join(seen, "_shape", "left_semi").select(
-        "rec_id", "field", F.lit("duplicate").alias("kind")
+    in_row = firm.select("rec_id", F.lit(True).alias("_firm")).distinct()
+    weight = (
+        F.col("reader").cast("double") * (READER_ONLY + F.col("beside").cast("double") * BESIDE_TEXT)
+        + F.col("_firm").isNotNull().cast("double") * BESIDE_FIRM
+        + F.log2("titles") * PER_TITLES
+        + F.when(F.col("titles") > 1, F.log2("hosts")).otherwise(0) * PER_HOSTS
     )
+    dup = (
+        loose.where("_common = 0").join(seen, "_shape").join(in_row, "rec_id", "left")
+        .where(weight >= F.log2(F.lit(min_titles)) * PER_TITLES)
+        .select("rec_id", "field", F.lit("duplicate").alias("kind"))
+    )
     order = F.create_map(*[F.lit(x) for i, k in enumerate(("placeholder", "filler", "notice", "error", "duplicate")) for x in (k, i)])
     return firm.unionByName(dup).groupBy("rec_id", "field").agg(F.min_by("kind", order[F.col("kind")]).alias("kind"))
 

@@ -67,3 +67,20 @@ def test_edges(spark):
 def test_triggers_cover_the_detectors(spark, kind):
     d = spark.createDataFrame([(i, "t", None, t, None, None, "", "") for i, t in enumerate(CASES[kind])], SCHEMA)
     assert residue.graded(residue.segments(d)).where("firm is not null").count() == len(CASES[kind])
+
+
+def test_rare_notices_do_not_need_many_titles(spark):
+    for t in ("This may take a few seconds .", "Slow down and come back after 105 seconds .", "Попробуйте позже .", "Bitte schalten Sie es ein .",
+              "Check the address and try again .", "Try again in 5 minutes ."):
+        assert _found(spark, [(1, "Baprer and Toamourkmere", None, None, [[t]], "s")]) == {(1, "text"): "notice"}, t
+    soon = [["It lies on a river .", "We will be back soon ."]]
+    assert _found(spark, [(1, "Baprer and We", None, None, soon, None)]) == {}
+    assert _found(spark, [(1, "Baprer and Toamourkmere", None, None, soon, None)]) == {(1, "text"): "duplicate"}
+    assert _found(spark, [(i, f"T{i}", None, None, [["We will be back soon ."]], None) for i in range(2)]).keys() == {(0, "text"), (1, "text")}
+
+
+def test_loose_words_in_genuine_text_stay(spark):
+    texts = ["We Höžônd 's suite was long kept in the monastery .", "It was surveyed by the rower We Griavaeez .", "error code", "He chose to try again in 5 minutes .",
+             "This may take a few seconds in cold water ."]
+    rows = [(i, "Try again", None, t, [[t, "It lies on a river ."]], "s") for i, t in enumerate([*texts, "Try again later ."])]
+    assert _found(spark, rows) == {}
