@@ -4,8 +4,9 @@ A chain is what happened to a text: encoded by one codec and decoded by another,
 perhaps twice.  A multinomial classifier over hashed byte bigrams learns each chain
 from records garbled on purpose and the clean class from the records themselves;
 at inference the most likely chain that inverts strictly, changes the text and
-yields plausible characters is taken.  What no chain inverts is still named if it
-holds replacement characters, stray control codes or mostly intact damaged runs.
+yields plausible characters is taken: for the whole value, else for its words, else
+for single damaged sequences.  What no chain inverts is still named if it holds
+replacement characters, stray control codes or damaged runs.
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ CASE_SWAPPING = frozenset({"koi8r-as-cp1251", "cp1251-as-koi8r"})
 LOOSE_CODECS = frozenset({"cp1250", "cp1251", "cp1252", "cp1253", "cp1254"})
 
 _LOSSY = re.compile("[\ufffd\x80-\x84\x86-\x9f\ue000-\uf8ff]")
+_CUT_OFF = re.compile(rb"[\xc2-\xf4][\x80-\xbf]|^[\xc2-\xc5]$")
 _UTF8_RUN = re.compile(rb"[\xc3-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|\xc2[\xa0-\xbf]")
 
 
@@ -187,10 +189,10 @@ def fit(values: list[str]) -> Model:
     return model
 
 
-def _sequence_pattern(codec: str) -> str:
+def _sequence_pattern(codec: str, leads_to: int = 0xF5) -> str:
     """Characters that a lead byte and a continuation byte of UTF-8 turn into under a single-byte codec."""
     as_set = lambda bs: "[" + re.escape("".join(_decode(bytes((b,)), codec) or "" for b in bs)) + "]"
-    return as_set(range(0xC2, 0xF5)) + as_set(range(0x80, 0xC0))
+    return as_set(range(0xC2, leads_to)) + as_set(range(0x80, 0xC0))
 
 
 #: What no chain leaves without a trace of: a decoded UTF-8 sequence, ideographs, Latin-1 signs without Latin letters,
@@ -226,6 +228,15 @@ def _single_script(text: str) -> bool:
     return all(ch in _WORD_SIGNS or ch.isdigit() or any(a.match(ch) for a in _ALPHABETS) for ch in text)
 
 
+#: Chain, a lead and its follower as they look after it, all lead signs of two-byte sequences (first that of Latin-1's signs, then letters).
+_WESTERN_RUNS = [
+    (c, re.compile(_sequence_pattern(w, 0xE0)), "".join(_decode(bytes((b,)), w) or "" for b in range(0xC2, 0xE0)))
+    for c, ((_, w), *more) in CHAINS.items()
+    if c in WESTERN and not more
+]
+#: Closing signs that may follow a genuine letter where the opening one stands in the text.
+PAIRED = {"«": "»", "“": "”", "„": "“”", "‘": "’", "‹": "›"}
+
 PARTIAL_CODECS = ("cp1252", "mac_roman", "cp437", "cp850", "koi8-r", "cp1251")
 
 
@@ -240,20 +251,15 @@ def _partial(text: str) -> bool:
     return False
 
 
-def judge(text: str | None, model: Model) -> tuple[str, str | None]:
-    """(chain or 'clean' or 'lossy', restored text or None) of one value.
-
-    Null, empty and ASCII values are clean.  'lossy' is damage that cannot be undone.
-    """
-    if not text or text.isascii():
-        return CLEAN, None
+def _whole(text: str, model: Model, chains=CHAINS) -> tuple[str, str | None]:
+    """Most likely chain that inverts all of a text, and the text restored."""
     if not (_SUSPECT.search(text) or _LOSSY.search(text)):
         return CLEAN, None
     odds, ease = model.odds(text), model.ease(text)
     best = (-np.inf, CLEAN, None)
     for k, c in enumerate(CHAINS, 1):
         legacy = c not in UTF8_CHAINS
-        if odds[k] + (-MIN_ODDS_LEGACY if legacy else PRIOR_STRICT_UTF8) <= 0:
+        if c not in chains or odds[k] + (-MIN_ODDS_LEGACY if legacy else PRIOR_STRICT_UTF8) <= 0:
             continue
         fixed = restore(text, c)
         if fixed is None or _mixed(fixed):
@@ -270,11 +276,88 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
         score = odds[k] + (0 if legacy else PRIOR_STRICT_UTF8) + WEIGHT_EASE * gained
         if score > best[0]:
             best = (score, c, fixed)
-    if best[1] != CLEAN:
-        return best[1], best[2]
+    return best[1], best[2]
+
+
+def _still_damaged(words: list[str], chain: str) -> bool:
+    """Whether words left as they are hold a lead of a western chain cut off from what follows it."""
+    if chain not in WESTERN:
+        return False
+    wrong = CHAINS[chain][-1][1]
+    rest = [b"".join(ch.encode(wrong, "ignore") for ch in w) for w in words if not w.isascii()]
+    return any(_CUT_OFF.search(x) for x in rest)
+
+
+def _words(text: str, model: Model) -> tuple[str, str | None]:
+    """Damage of some words only: first all non-ASCII words together, then each by itself under the UTF-8 chains."""
+    words = text.split(" ")
+    strange = [i for i, w in enumerate(words) if not w.isascii()]
+    if len(words) == 1:
+        return CLEAN, None
+    if len(strange) < len(words):
+        joined = " ".join(words[i] for i in strange)
+        # a short Latin word may consist of accented letters only
+        chain, fixed = _whole(joined, model, CHAINS if sum(not ch.isascii() for ch in joined) >= 6 else UTF8_CHAINS)
+        parts = fixed.split(" ") if fixed else []
+        if len(parts) == len(strange):
+            for i, w in zip(strange, parts):
+                words[i] = w
+            return chain, " ".join(words)
+    first, left = CLEAN, []
+    for i in strange if len(strange) > 1 else ():
+        chain, fixed = _whole(words[i], model, UTF8_CHAINS)
+        if chain != CLEAN:
+            words[i] = fixed
+            first = chain if first == CLEAN else first
+        else:
+            left.append(words[i])
+    if first == CLEAN:
+        return CLEAN, None
+    return ("lossy", None) if _still_damaged(left, first) else (first, " ".join(words))
+
+
+def _runs(text: str, model: Model) -> tuple[str, str | None]:
+    """Intact two-byte sequences of a western chain between genuine or lossy signs."""
+    ease = model.ease(text)
+    for chain, pattern, leads in _WESTERN_RUNS:
+        hits = 0
+
+        def undo(m, chain=chain):
+            nonlocal hits
+            run, end = m.group(), m.end()
+            ends_word = end == len(text) or not text[end].isalnum()
+            if ends_word and any(run[1] in PAIRED[o] for o in PAIRED if o in text):
+                return run
+            fixed = restore(run, chain)
+            if fixed is None or "\u0180" <= fixed <= "\u036f" or run.isalpha() or not (fixed.isalpha() or run[0] == leads[0]):
+                return run
+            if run[0] not in leads[:2] and model.ease(text[: m.start()] + fixed + text[end:]) <= ease:
+                return run
+            hits += 1
+            return fixed
+
+        fixed = pattern.sub(undo, text)
+        if hits and not _mixed(fixed):
+            # a lead sign without its follower in a word with an intact sequence has lost it
+            lone = any(ch in leads[:4] for w in text.split(" ") if pattern.search(w) for ch in pattern.sub("", w))
+            return ("lossy", None) if lone else (chain, fixed)
+    return CLEAN, None
+
+
+def judge(text: str | None, model: Model) -> tuple[str, str | None]:
+    """(chain or 'clean' or 'lossy', restored text or None) of one value.
+
+    Null, empty and ASCII values are clean.  'lossy' is damage that cannot be undone.
+    """
+    if not text or text.isascii():
+        return CLEAN, None
+    for look in (_whole, _words):
+        chain, fixed = look(text, model)
+        if chain != CLEAN:
+            return ("lossy", None) if fixed and _LOSSY.search(fixed) else (chain, fixed)
     if _LOSSY.search(text) or _partial(text):
         return "lossy", None
-    return CLEAN, None
+    return _runs(text, model)
 
 
 def train(items: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:

@@ -74,3 +74,19 @@ def test_fields(spark, model):
     assert next(r for r in got if r["field"] == "aka")["restored"] == ["ok", None, "Kétol äb"]
     empty = spark.createDataFrame([], SCHEMA)
     assert E.find_garbled(empty, E.train(empty)).count() == 0
+
+
+@pytest.mark.parametrize("bad, good", [
+    ("THÃ„FLIDÃSHOLM", None), ("tributary of the FlÃ\xadseÄor , 58.6 km long", None), ("cafÃ© à Paris", "café à Paris"),
+    ("capital of Poupeiford â€“ seat of the Vêflîkäholm court", "capital of Poupeiford – seat of the Vêflîkäholm court"),
+    ("площадь в городе " + E.garble("Северогорск", "utf8-as-cp1251") + " и река на юге страны", "площадь в городе Северогорск и река на юге страны"),
+    ("village near " + E.garble("Северогорск", "cp1251-as-latin1"), "village near Северогорск"),
+])
+def test_single_damaged_sequences_and_words(model, bad, good):
+    chain, fixed = E.judge(bad, model)
+    assert chain != E.CLEAN and fixed == good, (chain, fixed)
+
+
+def test_genuine_letters_side_by_side_stay(model):
+    for v in ("Lãço Prathopoux", "FÍBÃŽØR-VRAEKOURKBY", "FÊVÃŽUOV", "TÅRÅŠÏSIĆ JOURNAL", "Doavrae Çïçå", "Våteváltby Fïkrávêmford", "le «CAFÉ» à SKÅ", "SÃO João é à Âncora", "Ærø und Øst", "река Рёва"):
+        assert E.judge(v, model)[0] == E.CLEAN, v
