@@ -174,7 +174,7 @@ class Model:
 def fit(values: list[str]) -> Model:
     """Fit on values most of which are clean; two rounds, the second without what the first finds garbled."""
     values = sorted({v for v in values if v and not v.isascii()})
-    pool = [v for v in values if not _LOSSY.search(v) and not (_SUSPECT.search(v) and any(restore(v, c) for c in UTF8_CHAINS))]
+    pool = [v for v in values if not _LOSSY.search(v) and not any(restore(v, c) for c in UTF8_CHAINS)]
     seen: list[list] = [[(i, _features(v)) for i, v in enumerate(pool)]]
     for c in CHAINS:
         seen.append([(i, _features(g)) for i, v in enumerate(pool) if (g := garble(v, c)) is not None])
@@ -195,16 +195,6 @@ def _sequence_pattern(codec: str, leads_to: int = 0xF5) -> str:
     return as_set(range(0xC2, leads_to)) + as_set(range(0x80, 0xC0))
 
 
-#: What no chain leaves without a trace of: a decoded UTF-8 sequence, ideographs, Latin-1 signs without Latin letters,
-#: the lead bytes of kana, swapped case.
-_SUSPECT = re.compile(
-    "|".join(
-        [_sequence_pattern(c) for c in sorted({w for steps in CHAINS.values() for o, w in steps if o == "utf-8"} - {"gbk", "cp932", "big5"})]
-        + ["[\u3400-\u9fff\uff61-\uff9f\ue000-\uf8ff]", "^[^A-Za-z]*[\x80-\xff][^A-Za-z]*$", "[\u0192\u201a\x82\x83]",
-           "[\u0430-\u044f\u0451][\u0410-\u042f\u0401]"]
-    )
-)
-
 _ALPHABETS = (re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]"), re.compile("[\u0370-\u03ff]"), re.compile("[\u0400-\u052f]"),
               re.compile("[\u3041-\u30ff\u3400-\u9fff]"))
 _SWAPPED_CASE = re.compile("[\u0430-\u044f\u0451][\u0410-\u042f\u0401]")
@@ -253,16 +243,17 @@ def _partial(text: str) -> bool:
 
 def _whole(text: str, model: Model, chains=CHAINS) -> tuple[str, str | None]:
     """Most likely chain that inverts all of a text, and the text restored."""
-    if not (_SUSPECT.search(text) or _LOSSY.search(text)):
+    undone = {c: fixed for c in chains if (fixed := restore(text, c)) is not None}
+    if not undone:
         return CLEAN, None
     odds, ease = model.odds(text), model.ease(text)
     best = (-np.inf, CLEAN, None)
     for k, c in enumerate(CHAINS, 1):
         legacy = c not in UTF8_CHAINS
-        if c not in chains or odds[k] + (-MIN_ODDS_LEGACY if legacy else PRIOR_STRICT_UTF8) <= 0:
+        if c not in undone or odds[k] + (-MIN_ODDS_LEGACY if legacy else PRIOR_STRICT_UTF8) <= 0:
             continue
-        fixed = restore(text, c)
-        if fixed is None or _mixed(fixed):
+        fixed = undone[c]
+        if _mixed(fixed):
             continue
         # several intact sequences of a western chain speak for themselves, else the result must read better
         lost = sum(ord(ch) > 127 for ch in fixed)

@@ -90,3 +90,11 @@ def test_single_damaged_sequences_and_words(model, bad, good):
 def test_genuine_letters_side_by_side_stay(model):
     for v in ("Lãço Prathopoux", "FÍBÃŽØR-VRAEKOURKBY", "FÊVÃŽUOV", "TÅRÅŠÏSIĆ JOURNAL", "Doavrae Çïçå", "Våteváltby Fïkrávêmford", "le «CAFÉ» à SKÅ", "SÃO João é à Âncora", "Ærø und Øst", "река Рёва"):
         assert E.judge(v, model)[0] == E.CLEAN, v
+
+
+@pytest.mark.parametrize("chain", [c for c in E.CHAINS if E.CHAINS[c][0][0] in ("cp932", "gbk", "big5", "euc-jp")])
+def test_kanji_names_are_judged_under_every_chain(words, model, chain):
+    held = [w for w in words[len(words) * 3 // 4 :] if all("一" <= ch for ch in w)]
+    held = [w for w in sorted(set(held)) if (g := E.garble(w, chain)) is not None and not g.isascii() and E.restore(g, chain)]
+    assert len(held) > 30
+    assert sum(E.judge(E.garble(w, chain), model)[0] != E.CLEAN for w in held) == len(held)
