@@ -20,9 +20,9 @@ from kernmill.session import stage, unstage
 
 @dataclass
 class Forest:
-    """``nodes``: prop, parent, status ('tree', 'loop', 'below_loop'), chain, pos,
-    subtree_size, path (root first; null off trees).
-    ``chains``: chain (its top node), members (top first), prefix (path above it)."""
+    """``nodes``: prop, parent, n_parents, on_tree, chain (its top node), pos (place in it), subtree_size.
+    ``chains``: chain, root, depth (of its top), above (the node it hangs below), chain_up, pos_up.
+    Both hold numbers only; paths and members are made where they are asked for."""
 
     nodes: DataFrame
     chains: DataFrame
@@ -91,120 +91,166 @@ def _loop_members(open_nodes: DataFrame) -> DataFrame:
         ptrs = new
 
 
-def _chain_tops(tree: DataFrame) -> DataFrame:
-    """Tree nodes with ``chain``: the top node of the heavy chain each lies on."""
+def _chain_places(tree: DataFrame) -> DataFrame:
+    """Tree nodes with ``chain``, the top node of the heavy chain each lies on, and ``pos``, the steps from it.
+
+    Doubling along the heavy hops; no chain is ever gathered in one row.
+    """
     heavy = tree.where("up is not null").groupBy("up").agg(
         F.min_by("id", F.struct(-F.col("size"), F.col("id"))).alias("id")
     )
     state = stage(
         tree.join(heavy.select("id", F.col("up").alias("hop")), "id", "left").select(
-            "id", "hop", F.when(F.col("hop").isNull(), F.col("id")).alias("chain")
+            "id", "hop", F.when(F.col("hop").isNull(), F.col("id")).alias("chain"), F.col("hop").isNotNull().cast("long").alias("pos")
         ), "chains",
     )
     # a heavy hop leads to one child only, so both sides of the join are unique
     while state.where("chain is null").limit(1).count():
-        target = state.select(F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col("chain").alias("chain2"))
+        target = state.select(
+            F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col("chain").alias("chain2"), F.col("pos").alias("pos2")
+        )
         done = state.where("chain is not null")
         going = state.where("chain is null").drop("chain").join(target, "hop").select(
-            "id", F.when(F.col("chain2").isNull(), F.col("hop2")).alias("hop"), F.col("chain2").alias("chain")
-        )
-        new = stage(done.select("id", "hop", "chain").unionByName(going), "chains")
+            "id", F.when(F.col("chain2").isNull(), F.col("hop2")).alias("hop"), F.col("chain2").alias("chain"),
+            (F.col("pos") + F.col("pos2")).alias("pos"),
+        )
+        new = stage(done.select("id", "hop", "chain", "pos").unionByName(going), "chains")
         unstage(state)
         state = new
-    return state.select("id", "chain")
+    return state.select("id", "chain", "pos")
+
+
+def _levels(roots: DataFrame, below: DataFrame, join) -> DataFrame:
+    """Union of ``roots`` and what ``join(below, level)`` makes of each level until nothing hangs below it.
+
+    A root path crosses at most log2(n) chains, so there are that many levels.
+    """
+    level = stage(roots, "level")
+    out = level
+    while True:
+        level = stage(join(below, level), "level")
+        if level.limit(1).count() == 0:
+            unstage(level)
+            return out
+        out = out.unionByName(level)
 
 
 def build_forest(edges: DataFrame) -> Forest:
     """Decompose ``edges`` (``child, parent``; repeats and nulls allowed).
 
     A child with several distinct parents hangs below the smallest of them;
-    ``n_parents`` tells.  A loop of any length, also of one, and everything below
-    it has status 'loop' or 'below_loop', no path and no chain.
+    ``n_parents`` tells and ``other_parents`` names the rest.  A loop of any length,
+    also of one, and everything below it is no tree and has no chain.  No edges give
+    no nodes.
     """
     state, _ = _doubling(edges)
     tree = state.where("ptr is null")
-    off = state.where("ptr is not null")
-    on_loop = _loop_members(off)
-    tops = _chain_tops(tree)
-    placed = stage(tree.join(tops, "id").select("id", "up", "n_parents", "size", "chain"), "placed")
-    # within a chain subtree sizes fall strictly from the top down
-    members = placed.groupBy("chain").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("k"), "id"))), lambda m: m["id"]).alias("members")
-    )
-    heads = placed.where("id = chain").select(F.col("id").alias("chain"), F.col("up").alias("above"))
-    up_chain = placed.select(F.col("id").alias("above"), F.col("chain").alias("chain_up"))
+    placed = stage(tree.join(_chain_places(tree), "id").select("id", "up", "n_parents", "size", "chain", "pos"), "placed")
+    heads = placed.where("pos = 0").select("chain", F.col("up").alias("above"))
+    at = placed.select(F.col("id").alias("above"), F.col("chain").alias("chain_up"), F.col("pos").alias("pos_up"))
     n = placed.count()
-    hung = salted_lookup(heads, up_chain, "above", F.col("chain"), hot_keys(heads, "above", rows=n)).select(
-        "chain", "above", "chain_up"
+    hung = stage(
+        salted_lookup(heads, at, "above", F.col("chain"), hot_keys(heads, "above", rows=n)).select("chain", "above", "chain_up", "pos_up"),
+        "hung",
     )
-    info = stage(members.join(hung, "chain", "left"), "chaininfo")
-    level = stage(
-        info.where("above is null").select("chain", "members", F.array().cast("array<string>").alias("prefix")), "level"
-    )
-    levels, below = [level], info.where("above is not null")
-    while True:
-        parents = level.select(F.col("chain").alias("chain_up"), F.col("members").alias("m_up"), F.col("prefix").alias("p_up"))
-        nxt = stage(
-            salted_lookup(below, parents, "chain_up", F.col("chain"), hot_keys(below, "chain_up", rows=n)).select(
-                "chain", "members",
-                F.concat("p_up", F.slice("m_up", F.lit(1), F.array_position("m_up", F.col("above")).cast("int"))).alias("prefix"),
-            ), "level",
-        )
-        if nxt.limit(1).count() == 0:
-            break
-        levels.append(nxt)
-        level = nxt
-    chains = levels[0]
-    for lv in levels[1:]:
-        chains = chains.unionByName(lv)
-    labelled = chains.select("prefix", "members", F.posexplode("members").alias("pos", "prop")).select(
-        "prop", "pos", F.element_at("members", 1).alias("chain"),
-        F.concat("prefix", F.slice("members", F.lit(1), F.col("pos") + 1)).alias("path"),
+    hot = hot_keys(hung, "chain_up", rows=n)
+
+    def down(below: DataFrame, level: DataFrame) -> DataFrame:
+        up = level.select(F.col("chain").alias("chain_up"), "root", F.col("depth").alias("_d"))
+        return salted_lookup(below, up, "chain_up", F.col("chain"), hot).select(
+            "chain", "root", (F.col("_d") + F.col("pos_up") + 1).alias("depth"), "above", "chain_up", "pos_up"
+        )
+
+    roots = heads.where("above is null").select(
+        "chain", F.col("chain").alias("root"), F.lit(0).cast("long").alias("depth"), "above",
+        F.lit(None).cast("string").alias("chain_up"), F.lit(None).cast("long").alias("pos_up"),
     )
-    tree_nodes = labelled.join(placed.withColumnRenamed("id", "prop").drop("chain"), "prop").select(
-        "prop", F.col("up").alias("parent"), "n_parents", F.lit("tree").alias("status"), "chain", "pos",
-        F.col("size").alias("subtree_size"), "path",
+    chains = _levels(roots, hung, down)
+    on_tree = placed.select(
+        F.col("id").alias("prop"), F.col("up").alias("parent"), "n_parents", F.lit(True).alias("on_tree"), "chain", "pos",
+        F.col("size").alias("subtree_size"),
     )
-    loop_nodes = off.join(on_loop.withColumn("_on", F.lit(True)), "id", "left").select(
-        F.col("id").alias("prop"), F.col("up").alias("parent"), "n_parents",
-        F.when(F.col("_on"), "loop").otherwise("below_loop").alias("status"),
-        F.lit(None).cast("string").alias("chain"), F.lit(None).cast("int").alias("pos"),
-        F.lit(None).cast("long").alias("subtree_size"), F.lit(None).cast("array<string>").alias("path"),
+    off = state.where("ptr is not null").select(
+        F.col("id").alias("prop"), F.col("up").alias("parent"), "n_parents", F.lit(False).alias("on_tree"),
+        F.lit(None).cast("string").alias("chain"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("subtree_size"),
     )
-    return Forest(tree_nodes.unionByName(loop_nodes), chains)
+    return Forest(on_tree.unionByName(off), chains)
 
 
 def roots_and_depths(forest: Forest) -> DataFrame:
-    """``prop, root, depth``; 'cycle' and -1 on or below a loop."""
-    tree = F.col("status") == "tree"
-    return forest.nodes.select(
-        "prop",
-        F.when(tree, F.element_at("path", 1)).otherwise("cycle").alias("root"),
-        F.when(tree, F.size("path") - 1).otherwise(-1).cast("long").alias("depth"),
+    """``prop, root, depth``; 'cycle' and -1 on or below a loop.  Chain numbers alone; no path is built."""
+    tree = forest.nodes.where("on_tree")
+    hot = hot_keys(tree, "chain")
+    found = salted_lookup(tree.select("prop", "chain", "pos"), forest.chains.select("chain", "root", "depth"), "chain", F.col("prop"), hot)
+    off = forest.nodes.where("not on_tree").select("prop", F.lit("cycle").alias("root"), F.lit(-1).cast("long").alias("depth"))
+    return found.select("prop", "root", (F.col("depth") + F.col("pos")).alias("depth")).unionByName(off)
+
+
+def other_parents(edges: DataFrame) -> DataFrame:
+    """``child, parent``: the distinct edges of children with several parents that the forest does not follow."""
+    e = edges.where("child is not null and parent is not null").distinct()
+    kept = e.groupBy("child").agg(F.min("parent").alias("_kept"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    return e.join(kept, "child").where("parent <> _kept").select("child", "parent")
+
+
+def labelled_chains(forest: Forest) -> DataFrame:
+    """``chain, members, prefix``: the chain's nodes from the top, and the path above it from the root.
+
+    Both are as long as the longest path through the chain, which the result holds anyway.
+    """
+    members = forest.nodes.where("on_tree").groupBy("chain").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "prop"))), lambda m: m["prop"]).alias("members")
+    )
+    info = stage(forest.chains.join(members, "chain"), "labels")
+    hot = hot_keys(info, "chain_up")
+
+    def down(below: DataFrame, level: DataFrame) -> DataFrame:
+        up = level.select(F.col("chain").alias("chain_up"), F.col("members").alias("_m"), F.col("prefix").alias("_p"))
+        return salted_lookup(below, up, "chain_up", F.col("chain"), hot).select(
+            "chain", "members", F.concat("_p", F.slice("_m", F.lit(1), F.col("pos_up").cast("int") + 1)).alias("prefix")
+        )
+
+    roots = info.where("above is null").select("chain", "members", F.array().cast("array<string>").alias("prefix"))
+    return _levels(roots, info.where("above is not null"), down)
+
+
+def node_paths(forest: Forest, chains: DataFrame) -> DataFrame:
+    """All nodes: ``prop, parent, n_parents, status, chain, pos, subtree_size, path``.
+
+    Status is 'tree', 'loop' or 'below_loop'; the path begins at the root and is null
+    off trees.
+    """
+    paths = chains.select("prefix", "members", F.posexplode("members").alias("_i", "prop")).select(
+        "prop", F.concat("prefix", F.slice("members", F.lit(1), F.col("_i") + 1)).alias("path")
     )
+    off = forest.nodes.where("not on_tree")
+    loop = _loop_members(off.select(F.col("prop").alias("id"), F.col("parent").alias("ptr")))
+    marked = forest.nodes.join(loop.select(F.col("id").alias("prop"), F.lit(True).alias("_on")), "prop", "left").join(paths, "prop", "left")
+    return marked.select(
+        "prop", "parent", "n_parents",
+        F.when(F.col("on_tree"), "tree").when(F.col("_on"), "loop").otherwise("below_loop").alias("status"),
+        "chain", "pos", "subtree_size", "path",
+    )
 
 
-def chain_intervals(forest: Forest) -> DataFrame:
+def chain_intervals(chains: DataFrame) -> DataFrame:
     """All descendants of each tree node as chain intervals.
 
     Rows ``prop, chain, from_pos, to_pos`` (inclusive): the rest of the node's own
     chain, and every chain hanging below it whole.  A leaf has no row.
     """
     last = F.size("members") - 1
-    own = forest.chains.select(F.element_at("members", 1).alias("chain"), last.cast("int").alias("to_pos"),
-                               F.posexplode("members").alias("pos", "prop")).where("pos < to_pos").select(
-        "prop", "chain", (F.col("pos") + 1).alias("from_pos"), "to_pos")
-    hanging = forest.chains.select(
-        F.explode("prefix").alias("prop"), F.element_at("members", 1).alias("chain"),
-        F.lit(0).alias("from_pos"), last.cast("int").alias("to_pos"),
+    own = chains.select("chain", last.cast("int").alias("to_pos"), F.posexplode("members").alias("pos", "prop")).where(
+        "pos < to_pos"
+    ).select("prop", "chain", (F.col("pos") + 1).alias("from_pos"), "to_pos")
+    hanging = chains.select(
+        F.explode("prefix").alias("prop"), "chain", F.lit(0).alias("from_pos"), last.cast("int").alias("to_pos"),
     )
     return own.unionByName(hanging)
 
 
-def descendants(forest: Forest) -> DataFrame:
-    """Pairs ``prop, descendant``, expanded from the chain intervals."""
-    members = forest.chains.select(F.element_at("members", 1).alias("chain"), "members")
-    return chain_intervals(forest).join(members, "chain").select(
+def descendants(chains: DataFrame) -> DataFrame:
+    """Pairs ``prop, descendant``, expanded from the chain intervals of ``labelled_chains``."""
+    return chain_intervals(chains).join(chains.select("chain", "members"), "chain").select(
         "prop", F.explode(F.slice("members", F.col("from_pos") + 1, F.col("to_pos") - F.col("from_pos") + 1)).alias("descendant")
     )
-

@@ -152,6 +152,12 @@ CONTEXTS = Table(
         "tok_end": (*SPAN_END, (1, 1), (1, "end"), (2,)),
     },
 )
+ALIASES = Table("aliases", (("aka", "[]"),), {"alias_no": (("@",),), "alias": ((),)})
+TRIPLES = Table(
+    "triples",
+    (("triples", "[]"),),
+    {"triple_no": (("@",),), "subj": (("subj",), (0,)), "rel": (("rel",), (1,)), "obj": (("obj",), (2,))},
+)
 PARAGRAPH = ("text", "[]")
 #: Schema paths, relative to a paragraph, at which a sentence may stand.
 SENTENCE_PATHS = frozenset({(), ("[]",), ("sents", "[]"), ("sents",)})
@@ -216,6 +222,8 @@ SCHEMAS = {
     "nodes": "dewey string, parent string, path string, key string, kind string, value string",
     "entities": "dewey string, qid string, pid string, title string, name string, aka array<string>, `desc` string",
     "sentences": "dewey string, parent string, para_no bigint, sent_no bigint, sentence string, n_tokens bigint",
+    "aliases": "dewey string, parent string, alias_no bigint, alias string",
+    "triples": "dewey string, parent string, triple_no bigint, subj string, rel string, obj string",
     "links": "dewey string, parent string, target string, para_no bigint, sent_no bigint, tok_begin bigint, tok_end bigint, usable boolean",
     "contexts": "dewey string, parent string, ctx_no bigint, sentence string, n_tokens bigint, tok_begin bigint, tok_end bigint, usable boolean",
 }
@@ -240,6 +248,11 @@ def shred_line(record, tables: tuple[str, ...]) -> dict[str, list[tuple]]:
         text = lambda k: as_text(top[k].value) if k in top else None
         aka = [as_text(x) for x in top["aka"].value] if "aka" in top and top["aka"].kind == "array" else None
         out["entities"] = [("", text("qid"), text("pid"), text("title"), text("name"), aka, text("desc"))]
+    for t in (ALIASES, TRIPLES):
+        if t.name in out:
+            out[t.name] = [
+                (_label(d), _label(d[:-1]), *(v if c.endswith("_no") else as_text(v) for c, v in r.items())) for d, r in table_rows(nodes, t)
+            ]
     lengths = {}
     if "sentences" in out or "links" in out:
         for d, p, s, t in sentence_rows(nodes):
@@ -262,37 +275,61 @@ def shred_line(record, tables: tuple[str, ...]) -> dict[str, list[tuple]]:
     return out
 
 
-def shred(raw: DataFrame, table: str, id_col: str = "line_no", json_col: str = "line") -> DataFrame:
-    """One flat table of a column of JSON lines; each row keeps ``line_no`` and its label.
+def shred_union(raw: DataFrame, tables: tuple[str, ...], id_col: str = "line_no", json_col: str = "line") -> DataFrame:
+    """Several flat tables of a column of JSON lines at once: ``table, line_no`` and all their columns.
 
-    ``table`` is one of ``SCHEMAS``.  Null, blank, broken and non-object lines give
-    no rows; repeated lines give their rows each; of a repeated key the last value
-    counts.  Only the two columns named are read.  One narrow pass, no shuffle.
+    ``tables`` are names of ``SCHEMAS``; columns a table does not have are null in its
+    rows.  Each line is parsed and labelled once, in one narrow pass without a shuffle.
+    Null, blank, broken and non-object lines give no rows; repeated lines give their
+    rows each; of a repeated key the last value counts.  Only the two columns named
+    are read.
     """
-    schema = T._parse_datatype_string(SCHEMAS[table])
-    out_schema = T.StructType([T.StructField("line_no", T.LongType()), *schema.fields])
-    arrow = pa.schema([("line_no", pa.int64()), *[(f.name, _arrow(f.dataType)) for f in schema.fields]])
+    own = {t: T._parse_datatype_string(SCHEMAS[t]).fields for t in tables}
+    fields = list({f.name: f for fs in own.values() for f in fs}.values())
+    out_schema = T.StructType([T.StructField("table", T.StringType()), T.StructField("line_no", T.LongType()), *fields])
+    arrow = pa.schema([("table", pa.string()), ("line_no", pa.int64()), *[(f.name, _arrow(f.dataType)) for f in fields]])
+    place = {f.name: i for i, f in enumerate(fields)}
+    # of each table, where its columns stand among all
+    places = {t: [place[f.name] for f in fs] for t, fs in own.items()}
+
+    def made(names, numbers, rows):
+        columns = [names, numbers, *([r[i] for r in rows] for i in range(len(fields)))]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches):
+        names, numbers, rows = [], [], []
         for batch in batches:
-            rows: list[list] = [[] for _ in arrow]
             for no, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 record = read_record(line)
                 if record is None:
                     continue
-                for r in shred_line(record, (table,))[table]:
-                    rows[0].append(no)
-                    for col, v in zip(rows[1:], r):
-                        col.append(v)
-                if len(rows[0]) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, arrow)], schema=arrow)
-                    rows = [[] for _ in arrow]
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, arrow)], schema=arrow)
+                for t, found in shred_line(record, tables).items():
+                    for r in found:
+                        row = [None] * len(fields)
+                        for i, v in zip(places[t], r):
+                            row[i] = v
+                        names.append(t)
+                        numbers.append(no)
+                        rows.append(row)
+                if len(rows) >= 20_000:
+                    yield made(names, numbers, rows)
+                    names, numbers, rows = [], [], []
+        if rows:
+            yield made(names, numbers, rows)
 
     return raw.select(F.col(id_col).cast("long"), F.col(json_col).cast("string")).mapInArrow(run, out_schema)
 
 
+def one_table(union: DataFrame, table: str) -> DataFrame:
+    """The rows and columns of one table of ``shred_union``, with ``line_no``."""
+    return union.where(F.col("table") == table).select("line_no", *T._parse_datatype_string(SCHEMAS[table]).fieldNames())
+
+
+def shred(raw: DataFrame, table: str, id_col: str = "line_no", json_col: str = "line") -> DataFrame:
+    """One flat table of a column of JSON lines; each row keeps ``line_no`` and its label (see ``shred_union``)."""
+    return one_table(shred_union(raw, (table,), id_col, json_col), table)
+
+
 def _arrow(t: T.DataType) -> pa.DataType:
     if isinstance(t, T.ArrayType):
         return pa.list_(pa.string())
@@ -300,16 +337,19 @@ def _arrow(t: T.DataType) -> pa.DataType:
 
 
 def usable_entries(raw: DataFrame) -> DataFrame:
-    """Usable link and contexts entries of all lines in one table.
+    """Usable link and contexts entries of all lines in one table, from one pass.
 
     Columns ``line_no, field, child_key, para_no, sent_no, tok_begin, tok_end``; for
     contexts the key is the place in the array and para_no and sent_no are -1.
     """
-    links = shred(raw, "links").where("usable").select(
-        "line_no", F.lit("link").alias("field"), F.col("target").alias("child_key"), "para_no", "sent_no", "tok_begin", "tok_end"
+    link = F.col("table") == "links"
+    none = F.lit(-1).cast("long")
+    return shred_union(raw, ("links", "contexts")).where("usable").select(
+        "line_no",
+        F.when(link, "link").otherwise("contexts").alias("field"),
+        F.when(link, F.col("target")).otherwise(F.col("ctx_no").cast("string")).alias("child_key"),
+        F.when(link, F.col("para_no")).otherwise(none).alias("para_no"),
+        F.when(link, F.col("sent_no")).otherwise(none).alias("sent_no"),
+        "tok_begin",
+        "tok_end",
     )
-    ctx = shred(raw, "contexts").where("usable").select(
-        "line_no", F.lit("contexts").alias("field"), F.col("ctx_no").cast("string").alias("child_key"),
-        F.lit(-1).cast("long").alias("para_no"), F.lit(-1).cast("long").alias("sent_no"), "tok_begin", "tok_end",
-    )
-    return links.unionByName(ctx)

@@ -1,6 +1,6 @@
 """Joins and per-key processing that stay balanced when few keys hold most rows.
 
-``hot_keys``/``salted_lookup`` serve joins against a table unique on its key.
+``hot_keys``/``salted_lookup`` serve joins on keys that are skewed on one side.
 ``number_rows``/``chunk_states``/``merge_states`` implement exact offset
 chunking: rows get a range-partitioned position, keys are counted per input
 partition, a prefix sum over the partitions gives every partition's offset
@@ -11,8 +11,6 @@ independently; their ordered boundary states are then merged per key.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,49 +18,52 @@ from kernmill.session import stage
 
 MAX_HOT = 256
 
+#: Keys with more than this part of all rows are hot, so there are fewer of them than this.
+HOT_PARTS = 4096
 
-def hot_keys(df: DataFrame, key: str, floor: int = 50_000, rows: int | None = None) -> dict:
-    """Keys of ``df`` with more than ``floor`` rows, mapped to their counts.
 
-    Where ``rows``, a known bound on the rows of ``df``, is no more than that, there is none.
+def hot_keys(df: DataFrame, key: str, floor: int = 50_000, rows: int | None = None) -> DataFrame | None:
+    """``key, _n``: the keys of ``df`` that need salts, and how many.
 
-    At most ``MAX_HOT`` keys come back (the largest), so what reaches the driver
-    has a fixed bound; counting combines map-side.  Null keys are left out.
+    Hot are all keys with more than ``floor`` rows and more than one in ``HOT_PARTS``
+    of all rows; so the table has fewer than ``HOT_PARTS`` rows whatever the data, and
+    what is not hot is no larger than a fair partition.  Counting combines map-side;
+    nothing is collected.  Null keys are left out.  Where ``rows``, a known bound on
+    the rows of ``df``, is no more than ``floor``, there is none.
     """
     if rows is not None and rows <= floor:
-        return {}
-    top = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .where(F.col("count") > floor)
-        .orderBy(F.desc("count"))
-        .limit(MAX_HOT)
-        .collect()
+        return None
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    # one row
+    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_all"))
+    least = F.greatest(F.lit(floor), F.floor(F.col("_all") / HOT_PARTS))
+    return counts.join(F.broadcast(total)).where(F.col("_c") > least).select(
+        key, F.least(F.lit(HOT_PARTS), F.ceil(F.col("_c") / least)).cast("int").alias("_n")
     )
-    return {r[0]: r["count"] for r in top}
 
 
-def salted_lookup(
-    left: DataFrame, right: DataFrame, key: str, spread_by: Column, hot: dict, floor: int = 50_000
-) -> DataFrame:
-    """Inner join of ``left`` with ``right`` (unique on ``key``), hot keys salted.
+def salted(df: DataFrame, key: str, hot: DataFrame | None, spread_by: Column | None = None) -> DataFrame:
+    """``df`` with ``_salt``: one of the key's salts by ``spread_by``, or one row for each of them without it.
 
-    Rows of a hot key are spread over as many salts as keep each near ``floor``
-    rows; the one matching right row is repeated per salt.  Cold keys use salt 0.
-    Null keys match nothing.
+    Keys that are not in ``hot`` have salt 0 only.
     """
-    salt_l, salt_r = F.lit(0).cast("int"), F.array(F.lit(0))
-    if hot:
-        salts = {k: min(4096, math.ceil(n / floor)) for k, n in hot.items()}
-        n_of = F.coalesce(
-            F.element_at(F.create_map(*[F.lit(x) for kv in salts.items() for x in kv]), F.col(key)), F.lit(1)
-        )
-        salt_l = F.pmod(F.xxhash64(spread_by), n_of.cast("long")).cast("int")
-        salt_r = F.sequence(F.lit(0), n_of - 1)
-    lhs = left.where(F.col(key).isNotNull()).withColumn("_salt", salt_l)
-    rhs = right.withColumn("_salt", F.explode(salt_r))
-    return lhs.join(rhs, [key, "_salt"]).drop("_salt")
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0).cast("int"))
+    # fewer than HOT_PARTS rows
+    known = df.join(F.broadcast(hot), key, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    salt = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)) if spread_by is None else F.pmod(F.xxhash64(spread_by), F.col("_n").cast("long")).cast("int")
+    return known.withColumn("_salt", salt).drop("_n")
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: Column, hot: DataFrame | None) -> DataFrame:
+    """Inner join of ``left`` with ``right`` on ``key``, hot keys of ``left`` salted.
+
+    Rows of a hot key are spread over as many salts as keep each near the row limit
+    of ``hot_keys``; the matching right rows are repeated per salt.  Null keys match
+    nothing.
+    """
+    lhs = salted(left.where(F.col(key).isNotNull()), key, hot, spread_by)
+    return lhs.join(salted(right, key, hot), [key, "_salt"]).drop("_salt")
 
 
 def _placed(df: DataFrame, order: list[str], partitions: int | None) -> DataFrame:

@@ -13,22 +13,40 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def _raw(spark, sf):
+    return read_spread(spark, f"{sf}/merged_raw.parquet")
+
+
 def p1_found(spark, sf):
-    return nested.usable_entries(read_spread(spark, f"{sf}/merged_raw.parquet"))
+    return nested.usable_entries(_raw(spark, sf))
 
 
 def p1_entities(spark, sf):
-    return nested.shred(_read(spark, sf, "merged_raw"), "entities").select(
+    return nested.shred(_raw(spark, sf), "entities").select(
         "line_no", "qid", "pid", "title", "name", F.array_join("aka", "|", "").alias("aka"), "desc"
     )
 
 
 def p1_sentences(spark, sf):
-    return nested.shred(_read(spark, sf, "merged_raw"), "sentences").drop("dewey", "parent")
+    return nested.shred(_raw(spark, sf), "sentences").drop("dewey", "parent")
+
+
+def p1_links(spark, sf):
+    """Usable link entries with their own label and that of the map or array they stand in."""
+    return nested.shred(_raw(spark, sf), "links").where("usable").drop("usable")
+
+
+def p1_contexts(spark, sf):
+    """Usable contexts entries with their own label and that of the array they stand in."""
+    return nested.shred(_raw(spark, sf), "contexts").where("usable").drop("usable")
+
+
+def p1_aliases(spark, sf):
+    return nested.shred(_raw(spark, sf), "aliases")
 
 
 def p1_nodes(spark, sf):
-    return nested.shred(_read(spark, sf, "merged_raw"), "nodes")
+    return nested.shred(_raw(spark, sf), "nodes")
 
 
 def _profile(spark, sf):
@@ -52,19 +70,23 @@ def p5_found(spark, sf):
 
 
 def p5_nodes(spark, sf):
-    return _forest(spark, sf).nodes.select(
+    forest = _forest(spark, sf)
+    return hierarchy.node_paths(forest, hierarchy.labelled_chains(forest)).select(
         "prop", "parent", "status", "subtree_size", F.array_join("path", "/").alias("path")
     )
 
 
 def p5_descendants(spark, sf):
-    return hierarchy.descendants(_forest(spark, sf))
+    return hierarchy.descendants(hierarchy.labelled_chains(_forest(spark, sf)))
 
 
 QUERIES = {
     "p1_found": p1_found,
     "p1_entities": p1_entities,
     "p1_sentences": p1_sentences,
+    "p1_links": p1_links,
+    "p1_contexts": p1_contexts,
+    "p1_aliases": p1_aliases,
     "p1_nodes": p1_nodes,
     "p2_found": p2_found,
     "p2_profile": p2_profile,
@@ -99,40 +121,50 @@ WITH raw AS (
 )
 """
 
-_P1_FOUND = (
+_P1_ENTRIES = (
     _P1
     + """
-, lk AS (
-  SELECT line_no, k AS child_key, map_extract(m, k)[1] AS x
-  FROM (SELECT line_no, m, unnest(map_keys(m)) AS k FROM
-    (SELECT line_no, CAST(e->'link' AS MAP(VARCHAR, JSON)) AS m FROM rec WHERE json_type(e->'link') = 'OBJECT'))
+, keys AS (
+  SELECT line_no, e, list_position(json_keys(e), 'link') - 1 AS lk_at, list_position(json_keys(e), 'contexts') - 1 AS cx_at FROM rec
+), lk AS (
+  SELECT line_no, lk_at, i - 1 AS i, map_keys(m)[i] AS child_key, map_values(m)[i] AS x
+  FROM (SELECT line_no, lk_at, m, unnest(range(1, len(map_keys(m)) + 1)) AS i FROM
+    (SELECT line_no, lk_at, CAST(e->'link' AS MAP(VARCHAR, JSON)) AS m FROM keys WHERE json_type(e->'link') = 'OBJECT'))
   UNION ALL
-  SELECT line_no, x->>'target', x FROM
-    (SELECT line_no, unnest(CAST(e->'link' AS JSON[])) AS x FROM rec WHERE json_type(e->'link') = 'ARRAY')
+  SELECT line_no, lk_at, i - 1 AS i, l[i]->>'target', l[i] FROM
+    (SELECT line_no, lk_at, l, unnest(range(1, len(l) + 1)) AS i FROM
+      (SELECT line_no, lk_at, CAST(e->'link' AS JSON[]) AS l FROM keys WHERE json_type(e->'link') = 'ARRAY'))
 ), pos AS (
-  SELECT line_no, 'link' AS field, child_key,
+  SELECT line_no, lk_at || '.' || i AS dewey, CAST(lk_at AS VARCHAR) AS parent, child_key,
     TRY_CAST(coalesce(x->>'para', x->'at'->>'para', x->>'$[0]') AS BIGINT) AS para_no,
     TRY_CAST(coalesce(x->>'sent', x->'at'->>'sent', x->>'$[1]') AS BIGINT) AS sent_no,
     TRY_CAST(coalesce(x->'span'->>'begin', x->'span'->>'$[0]', x->>'$[2][0]', x->>'$[2]') AS BIGINT) AS tok_begin,
     TRY_CAST(coalesce(x->'span'->>'end', x->'span'->>'$[1]', x->>'$[2][1]', x->>'$[3]') AS BIGINT) AS tok_end
   FROM lk
+), links AS (
+  SELECT p.*, n_tokens FROM pos p JOIN sentences s ON p.line_no = s.line_no AND p.para_no = s.para_no AND p.sent_no = s.sent_no
+  WHERE 0 <= tok_begin AND tok_begin <= tok_end AND tok_end < n_tokens
 ), cx AS (
-  SELECT line_no, i, (e->'contexts')->i AS x FROM
-    (SELECT line_no, e, unnest(range(json_array_length(e->'contexts')::BIGINT)) AS i FROM rec WHERE json_type(e->'contexts') = 'ARRAY')
+  SELECT line_no, cx_at, i, (e->'contexts')->i AS x FROM
+    (SELECT line_no, cx_at, e, unnest(range(json_array_length(e->'contexts')::BIGINT)) AS i FROM keys WHERE json_type(e->'contexts') = 'ARRAY')
 ), cpos AS (
-  SELECT line_no, 'contexts' AS field, CAST(i AS VARCHAR) AS child_key,
+  SELECT line_no, cx_at || '.' || i AS dewey, CAST(cx_at AS VARCHAR) AS parent, CAST(i AS BIGINT) AS ctx_no,
     coalesce(x->>'sentence', x->>'$[0]') AS sentence,
     TRY_CAST(coalesce(x->'span'->>'begin', x->'span'->>'$[0]', x->>'$[1][0]', x->>'$[1]') AS BIGINT) AS tok_begin,
     TRY_CAST(coalesce(x->'span'->>'end', x->'span'->>'$[1]', x->>'$[1][1]', x->>'$[2]') AS BIGINT) AS tok_end
   FROM cx
+), ctx AS (
+  SELECT *, len(list_filter(string_split_regex(sentence, '\\s+'), lambda x: x <> '')) AS n_tokens FROM cpos
+), contexts AS (SELECT * FROM ctx WHERE 0 <= tok_begin AND tok_begin <= tok_end AND tok_end < n_tokens)
+"""
 )
-SELECT p.line_no, p.field, p.child_key, p.para_no, p.sent_no, p.tok_begin, p.tok_end
-FROM pos p JOIN sentences s ON p.line_no = s.line_no AND p.para_no = s.para_no AND p.sent_no = s.sent_no
-WHERE 0 <= tok_begin AND tok_begin <= tok_end AND tok_end < n_tokens
+
+_P1_FOUND = (
+    _P1_ENTRIES
+    + """
+SELECT line_no, 'link' AS field, child_key, para_no, sent_no, tok_begin, tok_end FROM links
 UNION ALL
-SELECT line_no, field, child_key, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), tok_begin, tok_end FROM cpos
-WHERE 0 <= tok_begin AND tok_begin <= tok_end
-  AND tok_end < len(list_filter(string_split_regex(sentence, '\\s+'), lambda x: x <> ''))
+SELECT line_no, 'contexts', CAST(ctx_no AS VARCHAR), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), tok_begin, tok_end FROM contexts
 """
 )
 
@@ -167,6 +199,13 @@ SELECT line_no, e->>'qid' AS qid, e->>'pid' AS pid, e->>'title' AS title, e->>'n
   CASE WHEN json_type(e->'aka') = 'ARRAY' THEN coalesce(array_to_string(CAST(e->'aka' AS VARCHAR[]), '|'), '') END AS aka,
   e->>'desc' AS "desc"
 FROM rec""",
+    "p1_links": _P1_ENTRIES + "SELECT line_no, dewey, parent, child_key AS target, para_no, sent_no, tok_begin, tok_end FROM links",
+    "p1_contexts": _P1_ENTRIES + "SELECT line_no, dewey, parent, ctx_no, sentence, n_tokens, tok_begin, tok_end FROM contexts",
+    "p1_aliases": _P1
+    + """
+, k AS (SELECT line_no, e, list_position(json_keys(e), 'aka') - 1 AS aka_at FROM rec WHERE json_type(e->'aka') = 'ARRAY')
+SELECT line_no, aka_at || '.' || i AS dewey, CAST(aka_at AS VARCHAR) AS parent, CAST(i AS BIGINT) AS alias_no, (e->'aka')->>i AS alias
+FROM (SELECT *, unnest(range(json_array_length(e->'aka')::BIGINT)) AS i FROM k)""",
     "p2_found": _P2
     + """
 SELECT field, qid FROM e GROUP BY field, qid

@@ -30,34 +30,39 @@ def get_spark(app: str = "kernmill", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+#: A table up to this size is dealt out to all cores before a pass that computes much per row.
+SPREAD_BYTES = 256 << 20
+
+
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table for a pass that computes much per row.
 
-    A table in fewer splits than there are cores is dealt out to all of them; larger
-    tables are read as they lie.
+    Only a table of at most ``SPREAD_BYTES`` that lies in fewer splits than there are
+    cores is dealt out, so no more than that is ever shuffled for it; larger ones are
+    read as they lie.  No result depends on it.
     """
     df = spark.read.parquet(path)
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local runs, tests) a local one is made
-    and set.
+    Only in local mode, where it may be unset (tests), a local one is made and set;
+    a cluster without it is refused.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    jdir = sc.getCheckpointDir()
-    if jdir is None:
-        own = tempfile.mkdtemp(prefix="kernmill-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
-        jdir = sc.getCheckpointDir()
-    return jdir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="kernmill-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(f"file://{own}")
+    return sc.getCheckpointDir()
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -26,7 +26,8 @@ def _brute(edges):
 
 def _check(spark, edges):
     f = H.build_forest(spark.createDataFrame(edges, "child string, parent string"))
-    nodes = {r["prop"]: r for r in f.nodes.collect()}
+    chains = H.labelled_chains(f)
+    nodes = {r["prop"]: r for r in H.node_paths(f, chains).collect()}
     want, up = _brute(edges)
     assert set(nodes) == set(want)
     below = {n: 0 for n in want}
@@ -43,7 +44,7 @@ def _check(spark, edges):
                 on = on or at == n
                 at = up[at]
             assert nodes[n]["status"] == ("loop" if on else "below_loop")
-    pairs = {(r["prop"], r["descendant"]) for r in H.descendants(f).collect()}
+    pairs = {(r["prop"], r["descendant"]) for r in H.descendants(chains).collect()}
     assert pairs == {(a, n) for n, path in want.items() if path for a in path[:-1]}
     roots = {r["prop"]: (r["root"], r["depth"]) for r in H.roots_and_depths(f).collect()}
     assert roots == {n: (p[0], len(p) - 1) if p else ("cycle", -1) for n, p in want.items()}
@@ -64,7 +65,16 @@ def test_chain_and_star(spark):
 
 def test_nothing(spark):
     f = H.build_forest(spark.createDataFrame([], "child string, parent string"))
-    assert f.nodes.count() == 0 and H.descendants(f).count() == 0
+    chains = H.labelled_chains(f)
+    assert f.nodes.count() == 0 and H.descendants(chains).count() == 0
+    assert H.node_paths(f, chains).count() == 0 and H.roots_and_depths(f).count() == 0
+
+
+def test_several_parents_lose_no_link(spark):
+    e = spark.createDataFrame([("P1", "P3"), ("P1", "P2"), ("P1", "P3"), ("P4", "P2"), (None, "P2"), ("P5", None)], "child string, parent string")
+    assert [tuple(r) for r in H.other_parents(e).collect()] == [("P1", "P3")]
+    assert {(r["prop"], r["n_parents"]) for r in H.build_forest(e).nodes.collect()} == {
+        ("P1", 2), ("P2", 0), ("P3", 0), ("P4", 1), ("P5", 0)}
 
 
 def test_only_property_rows_count(spark):

@@ -57,3 +57,15 @@ def test_unreadable_and_odd_lines(spark):
     assert _rows(spark, [], "nodes") == []
     long = json.dumps({"qid": "Q", "text": [["w " * 50_000]], "link": {"Q2": [0, 0, [0, 49_999]]}})
     assert [r["usable"] for r in _rows(spark, [long, long], "links")] == [True, True]
+
+
+def test_one_pass_for_several_tables(spark):
+    lines = [json.dumps({"qid": "Q1", "aka": ["a", None], "text": [["x y"]], "link": {"Q2": [0, 0, [0, 1]]}, "contexts": [["a b", [0, 1]]],
+                         "triples": [["Q1", "P1", "Q2"], {"subj": "Q3", "rel": "P2", "obj": None}]})] * 2
+    d = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+    union = N.shred_union(d, ("links", "contexts", "aliases", "triples"))
+    for t in ("links", "contexts", "aliases", "triples"):
+        assert sorted(N.one_table(union, t).collect()) == sorted(N.shred(d, t).collect())
+    assert [(r["dewey"], r["parent"], r["alias"]) for r in N.one_table(union, "aliases").where("line_no = 0").collect()] == [("1.0", "1", "a"), ("1.1", "1", None)]
+    got = N.one_table(union, "triples").where("line_no = 1").collect()
+    assert [(r["triple_no"], r["subj"], r["rel"], r["obj"]) for r in got] == [(0, "Q1", "P1", "Q2"), (1, "Q3", "P2", None)]

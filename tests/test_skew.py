@@ -30,12 +30,19 @@ def test_salted_lookup_gives_the_plain_join(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else "k%d" % (i % 5)) for i in range(90)] + [(99, None)], "id int, k string")
     right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
     hot = skew.hot_keys(left, "k", floor=10)
-    assert set(hot) == {"hot"}
-    got = skew.salted_lookup(left, right, "k", F.col("id"), hot, floor=10).select("id", "k", "v").collect()
+    assert [(r["k"], r["_n"]) for r in hot.collect()] == [("hot", 6)]
+    got = skew.salted_lookup(left, right, "k", F.col("id"), hot).select("id", "k", "v").collect()
     want = left.join(right, "k").select("id", "k", "v").collect()
     assert sorted(got) == sorted(want)
 
 
+def test_every_hot_key_gets_salts(spark):
+    # more hot keys than any list on the driver used to hold
+    d = spark.range(400 * 12).select((F.col("id") % 400).cast("string").alias("k"))
+    assert skew.hot_keys(d, "k", floor=10).count() == 400
+    assert skew.hot_keys(d, "k", floor=10, rows=10) is None
+
+
 def test_top_k_breaks_ties_the_same_way(spark):
     d = spark.createDataFrame([("a", 1, i) for i in range(40)] + [("b", 2, 0)], "k string, o int, i int")
     got = skew.top_k_per_key(d, ["k"], ["o", "i"], 3).collect()
