@@ -33,13 +33,16 @@ def hot_keys(df: DataFrame, key: str, floor: int = 50_000, rows: int | None = No
     """
     if rows is not None and rows <= floor:
         return None
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    return hot_counts(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c")), key, "_c", floor)
+
+
+def hot_counts(counts: DataFrame, key: str, count: str, floor: int) -> DataFrame:
+    """``hot_keys`` of a table that has the number of rows of each key."""
+    c = F.col(count)
     # one row
-    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_all"))
+    total = counts.agg(F.coalesce(F.sum(c), F.lit(0)).alias("_all"))
     least = F.greatest(F.lit(floor), F.floor(F.col("_all") / HOT_PARTS))
-    return counts.join(F.broadcast(total)).where(F.col("_c") > least).select(
-        key, F.least(F.lit(HOT_PARTS), F.ceil(F.col("_c") / least)).cast("int").alias("_n")
-    )
+    return counts.join(F.broadcast(total)).where(c > least).select(key, F.least(F.lit(HOT_PARTS), F.ceil(c / least)).cast("int").alias("_n"))
 
 
 def salted(df: DataFrame, key: str, hot: DataFrame | None, spread_by: Column | None = None) -> DataFrame:
