@@ -4,15 +4,19 @@ Evaluation records are hashed word by word (n-grams of length one: the measure
 ignores word order, so longer n-grams would lose pairs), repeated words being
 numbered.  If two records agree in a share t of the longer one's words, then of
 any ``floor((1-t)·n) + c`` words of the evaluation record at least ``c`` stand in
-the other record.  The rarest such words are therefore partitioned by hash with the
-training words, pairs with ``c`` hits remain, and their exact agreement is computed
-from the full word lists.  Exact copies are collapsed first and expanded last.
+the other record.  The rarest such words are its probes.  Where the evaluation
+set is small enough, which is counted first, probes and word lists are broadcast
+and one scan of the training texts finds hits, computes exact agreement and
+containment, and emits nothing but overlaps.  Larger sets are partitioned by probe
+hash with the training words instead; both ways give the same rows.  Exact copies
+among the evaluation records are one class.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernmill.operators.skew import MAX_HOT
+from kernmill.operators.skew import hot_counts, hot_keys, salted, salted_lookup
 from kernmill.session import stage
 
 THRESHOLD = 0.8
 MIN_HITS = 4
 HOT_ROWS = 20_000
+#: Evaluation sets of at most so many words (8 bytes each) and classes are broadcast; larger ones are partitioned.
+BROADCAST_WORDS, BROADCAST_CLASSES = 8_000_000, 1_000_000
+#: Probe hits looked at together, which bounds the memory of a scan.
+HITS_AT_ONCE = 2_000_000
 _WORDS = regex.compile(r"[\p{L}\p{N}]+").findall
 
 
@@ -72,9 +80,112 @@ def bags(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classes(b: DataFrame) -> DataFrame:
-    """One row per distinct non-empty bag: ``cls`` (smallest id), words, bag_hash, bag."""
-    return b.where("words > 0").groupBy("bag_hash").agg(
-        F.min("id").alias("cls"), F.first("words").alias("words"), F.first("bag").alias("bag")
+    """One row per distinct non-empty bag: ``cls`` (hash of the bag), words, bag."""
+    return b.where("words > 0").groupBy(F.col("bag_hash").alias("cls")).agg(F.first("words").alias("words"), F.first("bag").alias("bag"))
+
+
+def _scaled(threshold: float) -> tuple[int, int]:
+    """Parts per 1e9 of the longer record that must agree, and of the evaluation record that may be missing."""
+    return round(threshold * 1_000_000_000), math.floor((1 - threshold) * 1e9 + 0.5)
+
+
+@dataclass
+class Probes:
+    """Evaluation classes in arrays: word lists and, per probe word, the classes it stands for."""
+
+    cls: list
+    words: np.ndarray
+    need: np.ndarray
+    begin: np.ndarray  # of each class in flat
+    flat: np.ndarray
+    tok: np.ndarray  # distinct probe words, ascending
+    at: np.ndarray  # of each probe word in owner
+    owner: np.ndarray
+
+
+def make_probes(classes: pa.Table, threshold: float) -> Probes:
+    """Probes of a table ``cls, words, bag``: of each class its rarest words, rarity counted over all classes."""
+    bags_ = classes["bag"].combine_chunks() if classes.num_rows else pa.array([], pa.list_(pa.int64()))
+    bags_ = bags_.combine_chunks() if isinstance(bags_, pa.ChunkedArray) else bags_
+    words = classes["words"].to_numpy().astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
+    flat = bags_.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    missing = words * _scaled(threshold)[1] // 1_000_000_000
+    need = np.minimum(MIN_HITS, words - missing)
+    owner = np.repeat(np.arange(len(words)), words)
+    _, of, df = np.unique(flat, return_inverse=True, return_counts=True)
+    by_rarity = np.lexsort((flat, df[of] if len(flat) else of, owner))
+    place = np.arange(len(flat)) - np.repeat(begin[:-1], words)
+    probe = by_rarity[place < np.repeat(missing + need, words)]
+    probe = probe[np.argsort(flat[probe], kind="stable")]
+    tok, at = np.unique(flat[probe], return_index=True)
+    return Probes(classes["cls"].to_pylist(), words, need, begin, flat, tok, np.append(at, len(probe)), owner[probe])
+
+
+def scan_texts(texts: list, p: Probes, threshold: float) -> list[tuple[int, int, int, int]]:
+    """(place in ``texts``, class, common words, words) of each overlap; equal texts are looked at once."""
+    first: dict[str, list[int]] = {}
+    for i, t in enumerate(texts):
+        if t:
+            first.setdefault(t, []).append(i)
+    groups = list(first.values())
+    sets = [_bag(t) for t in first]
+    share, _ = _scaled(threshold)
+    out: list[tuple[int, int, int, int]] = []
+    if not len(p.tok) or not sets:
+        return out
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    at = np.searchsorted(p.tok, flat)
+    at[at == len(p.tok)] = 0
+    hit = p.tok[at] == flat
+    row, at = row[hit], at[hit]
+    fan = p.at[at + 1] - p.at[at]
+    total = np.cumsum(fan)
+    begin = 0
+    while begin < len(row):
+        # whole records up to the bound, one record at least
+        before = total[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(total, before + HITS_AT_ONCE, "right")), begin + 1)
+        if end < len(row):
+            cut = int(np.searchsorted(row, row[end], "left"))
+            end = cut if cut > begin else int(np.searchsorted(row, row[begin], "right"))
+        f = fan[begin:end]
+        ends = np.cumsum(f)
+        inner = np.arange(ends[-1]) - np.repeat(ends - f, f)
+        who = p.owner[np.repeat(p.at[at[begin:end]], f) + inner]
+        pair, hits = np.unique(np.repeat(row[begin:end], f) * len(p.cls) + who, return_counts=True)
+        r, e = pair // len(p.cls), pair % len(p.cls)
+        n, m = sizes[r], p.words[e]
+        ok = (hits >= p.need[e]) & (np.minimum(n, m) * 1_000_000_000 >= np.maximum(n, m) * share)
+        for i, c in zip(r[ok].tolist(), e[ok].tolist()):
+            own = p.flat[p.begin[c] : p.begin[c + 1]]
+            place = np.searchsorted(sets[i], own)
+            place[place == len(sets[i])] = 0
+            common = int((sets[i][place] == own).sum())
+            if common * 1_000_000_000 >= max(len(own), len(sets[i])) * share:
+                out += [(k, c, common, len(sets[i])) for k in groups[i]]
+        begin = end
+    return out
+
+
+def scan_training(training: DataFrame, classes: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """``e_cls, t_id, common, e_words, t_words``: one narrow pass over the training texts, classes broadcast."""
+    known = training.sparkSession.sparkContext.broadcast(make_probes(classes.select("cls", "words", "bag").toArrow(), threshold))
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    names = ["e_cls", "t_id", "common", "e_words", "t_words"]
+
+    def run(batches):
+        p = known.value
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            rows = [(p.cls[c], ids[i], common, int(p.words[c]), n) for i, c, common, n in scan_texts(b.column(1).to_pylist(), p, threshold)]
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return training.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
+        run, "e_cls string, t_id bigint, common int, e_words int, t_words int"
     )
 
 
@@ -83,21 +194,21 @@ def class_pairs(evaluation: DataFrame, training: DataFrame, threshold: float = T
 
     Both inputs are tables of ``_classes``.  Complete for any threshold in (0, 1].
     """
-    share = math.floor((1 - threshold) * 1e9 + 0.5)  # parts per 1e9 that may be missing
-    missing = F.floor(F.col("words").cast("long") * share / 1_000_000_000).cast("int")
+    share, spare = _scaled(threshold)
+    missing = F.floor(F.col("words").cast("long") * spare / 1_000_000_000).cast("int")
     need = F.least(F.lit(MIN_HITS), F.col("words") - missing)
     probes = missing + need
     # lengths of a matching pair differ by 1/threshold at most: neighbouring classes of this logarithm
     size_class = lambda n: F.floor(F.log(n) / (math.log(1 / threshold) * 1.000001) if threshold < 1 else n).cast("int")
     t_tok = training.select(F.col("cls").alias("t_cls"), "words", F.explode("bag").alias("tok"))
     e_tok = evaluation.select("cls", F.explode("bag").alias("tok"))
-    # how often each evaluation word stands in training classes
-    e_words = e_tok.select("tok").distinct()
-    freq = stage(t_tok.join(e_words, "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("f")), "wordfreq")
+    # how often each evaluation word stands in training classes, counted before anything is joined
+    counted = t_tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
+    freq = stage(e_tok.select("tok").distinct().join(counted, "tok", "left").select("tok", F.coalesce("f", F.lit(0)).alias("f")), "wordfreq")
     ranked = (
-        e_tok.join(freq, "tok", "left")
+        salted_lookup(e_tok, freq, "tok", F.col("cls"), hot_keys(e_tok, "tok", HOT_ROWS))
         .groupBy("cls")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "tok"))).alias("by_rarity"))
+        .agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("by_rarity"))
         .join(evaluation.select("cls", "words"), "cls")
         .withColumn("need", need)
         .select("cls", "words", "need", F.slice("by_rarity", F.lit(1), probes).alias("p"))
@@ -108,17 +219,11 @@ def class_pairs(evaluation: DataFrame, training: DataFrame, threshold: float = T
                       near.alias("near")).select("e_cls", "e_words", "need", "tok", F.explode("near").alias("size")), "probe",
     )
     scan = t_tok.withColumn("size", size_class(F.col("words")))
-    # the words that meet many training classes: their number is bounded, and so is what the driver gets
-    crowded = freq.where(F.col("f") > HOT_ROWS).join(probe.select("tok").distinct(), "tok", "left_semi")
-    hot = {r["tok"]: r["f"] for r in crowded.orderBy(F.desc("f")).limit(MAX_HOT).collect()}
-    salt_p, salt_s = F.array(F.lit(0)), F.lit(0)
-    if hot:
-        n_of = F.coalesce(F.element_at(
-            F.create_map(*[F.lit(x) for k, n in hot.items() for x in (k, min(4096, -(-n // HOT_ROWS)))]), F.col("tok")), F.lit(1))
-        salt_p, salt_s = F.sequence(F.lit(0), n_of - 1), F.pmod(F.xxhash64("t_cls"), n_of.cast("long")).cast("int")
+    # words that stand in many training classes are spread by class
+    hot = hot_counts(freq, "tok", "f", HOT_ROWS)
     hits = (
-        probe.withColumn("salt", F.explode(salt_p))
-        .join(scan.withColumn("salt", salt_s), ["tok", "size", "salt"])
+        salted(probe, "tok", hot)
+        .join(salted(scan, "tok", hot, F.col("t_cls")), ["tok", "size", "_salt"])
         .where((F.col("words") >= F.col("e_words") * threshold) & (F.col("e_words") >= F.col("words") * threshold))
         .groupBy("e_cls", "t_cls")
         .agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
@@ -132,33 +237,48 @@ def class_pairs(evaluation: DataFrame, training: DataFrame, threshold: float = T
     )
     return scored.where(
         F.col("common").cast("long") * 1_000_000_000
-        >= F.greatest("e_words", "t_words").cast("long") * round(threshold * 1_000_000_000)
+        >= F.greatest("e_words", "t_words").cast("long") * share
     )
 
 
-def split_overlaps(evaluation: DataFrame, training: DataFrame, id_col: str = "ex_id", threshold: float = THRESHOLD) -> dict[str, DataFrame]:
+def split_overlaps(
+    evaluation: DataFrame, training: DataFrame, id_col: str = "ex_id", threshold: float = THRESHOLD, broadcast_words: int = BROADCAST_WORDS
+) -> dict[str, DataFrame]:
     """Overlaps of evaluation records with training records.
 
-    Returns ``pairs`` (classes, with common words and containment of the evaluation
-    record), ``e_members`` and ``t_members`` (cls, id).  Records without words match
-    nothing.  Repeated rows are members each; extra columns are not read.
+    Returns ``links`` (``e_cls, t_id, common, e_words, t_words, containment``: an
+    evaluation class and a training record, with the part of the evaluation record
+    that stands in it) and ``members`` (``cls, id`` of the evaluation records).
+    Records without words match nothing.  Repeated rows count each; null ids stay
+    null; empty tables give no rows; extra columns are not read.
     """
-    parts = {}
-    for name, df in (("e", evaluation), ("t", training)):
-        b = stage(bags(record_text(df), id_col, "_text"), "bags")
-        cls = stage(_classes(b), "classes")
-        parts[name] = (cls, b.where("words > 0").join(cls.select("bag_hash", "cls"), "bag_hash").select("cls", "id"))
-    pairs = stage(class_pairs(parts["e"][0], parts["t"][0], threshold), "pairs").withColumn(
-        "containment", F.col("common") / F.col("e_words")
-    )
-    return {"pairs": pairs, "e_members": parts["e"][1], "t_members": parts["t"][1]}
+    b = stage(bags(record_text(evaluation), id_col, "_text"), "bags")
+    classes = stage(_classes(b), "classes")
+    size = classes.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    if size["w"] <= broadcast_words and size["n"] <= BROADCAST_CLASSES:
+        links = scan_training(record_text(training), classes, id_col, "_text", threshold)
+    else:
+        t = stage(bags(record_text(training), id_col, "_text"), "bags")
+        pairs = stage(class_pairs(classes, stage(_classes(t), "classes"), threshold), "pairs")
+        members = t.where("words > 0").select(F.col("bag_hash").alias("t_cls"), F.col("id").alias("t_id"))
+        hot = hot_keys(members, "t_cls", HOT_ROWS)
+        links = salted_lookup(members, pairs, "t_cls", F.col("t_id"), hot).select("e_cls", "t_id", "common", "e_words", "t_words")
+    return {
+        "links": links.withColumn("containment", F.col("common") / F.col("e_words")),
+        "members": b.where("words > 0").select(F.col("bag_hash").alias("cls"), "id"),
+    }
 
 
 def expand_pairs(found: dict[str, DataFrame]) -> DataFrame:
-    """Pairs of record ids ``e_id, t_id, containment`` from class pairs and memberships."""
-    return (
-        found["pairs"]
-        .join(found["e_members"].withColumnsRenamed({"cls": "e_cls", "id": "e_id"}), "e_cls")
-        .join(found["t_members"].withColumnsRenamed({"cls": "t_cls", "id": "t_id"}), "t_cls")
-        .select("e_id", "t_id", "common", "containment")
-    )
+    """Pairs of record ids ``e_id, t_id, common, containment`` from links and memberships."""
+    links = stage(found["links"], "links")
+    members = found["members"].withColumnsRenamed({"cls": "e_cls", "id": "e_id"})
+    hot = hot_keys(links, "e_cls", HOT_ROWS)
+    return salted_lookup(links, members, "e_cls", F.col("t_id"), hot).select("e_id", "t_id", "common", "containment")
+
+
+def overlap_counts(found: dict[str, DataFrame]) -> DataFrame:
+    """``id, n_training``: how many training records each overlapping evaluation record meets; no pair is expanded."""
+    per = found["links"].groupBy(F.col("e_cls").alias("cls")).agg(F.count(F.lit(1)).alias("n_training"))
+    members = found["members"]
+    return salted_lookup(members, per, "cls", F.col("id"), hot_keys(members, "cls", HOT_ROWS)).select("id", "n_training")

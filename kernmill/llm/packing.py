@@ -1,10 +1,11 @@
-"""Filling fixed-capacity containers (problem 8) by sum-of-squares packing.
+"""Filling fixed-capacity containers (problem 8) by online sum-of-squares packing.
 
 Each arriving item goes to the fill level that makes the sum of squared numbers of
-open containers per level smallest; a level array holds those numbers.  Shards of
-bounded size pack independently; the items of containers they leave with more than
-a little room are then dealt out anew and packed together, so that the loss at
-shard ends does not stay.
+open containers per level smallest; a level array holds those numbers.  Items are
+dealt to shards of bounded size by the hash of their key and arrive in the order of
+that hash; the items of containers that shards leave open at their ends
+arrive a second time, so that the loss at shard ends does not stay.  The result
+depends on the items alone, not on how they are stored or on the number of cores.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from kernmill.session import stage
 
 CAPACITY = 2048
 SHARD_ITEMS = 40_000
-#: Containers filled less than this are packed anew in the second round.
-GOOD_FILL = 0.97
+#: Containers that a shard leaves with less than this are taken up again: their items arrive once more, from all shards together.
+CLOSED_FILL = 0.97
 
 
 class SumOfSquares:
@@ -59,11 +60,6 @@ class SumOfSquares:
         return box
 
 
-def _pack_shard(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    packer = SumOfSquares(capacity)
-    return np.array([packer.place(int(s)) if s else -1 for s in sizes], dtype=np.int64), packer.made
-
-
 def split_oversized(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
     """``id_col, part, size``: items over the capacity cut into full parts and a rest.
 
@@ -75,41 +71,56 @@ def split_oversized(sizes: DataFrame, id_col: str, size_col: str, capacity: int)
     return cut.select(id_col, "part", F.least(F.lit(capacity), F.col("_n") - F.col("part") * F.lit(capacity).cast("long")).alias("size"))
 
 
-def _pack(items: DataFrame, key: list[str], capacity: int, shard_items: int) -> DataFrame:
-    """Items (staged, unique on ``key``) with ``shard`` and ``box``; items of size 0 go to box 0 of their shard."""
-    shards = max(1, -(-items.count() // shard_items))
-    placed = items.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # large items first, so that small ones fill the gaps
-        pdf = pdf.sort_values(["size", *key], ascending=[False] + [True] * len(key), kind="stable")
-        pdf["box"] = np.maximum(_pack_shard(pdf["size"].to_numpy(), capacity)[0], 0)
-        return pdf
-
-    return placed.groupBy("shard").applyInPandas(run, f"{fields}, shard int, box bigint")
+def _items(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
+    """``id_col, part, size, copy``, unique: equal items are numbered from their count, so none is gathered."""
+    n = split_oversized(sizes, id_col, size_col, capacity).groupBy(id_col, "part", "size").agg(F.count(F.lit(1)).alias("_n"))
+    return n.select(id_col, "part", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("copy"))
 
 
 def pack(
     sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY,
-    shard_items: int = SHARD_ITEMS,
+    shard_items: int = SHARD_ITEMS, largest_first: bool = True,
 ) -> DataFrame:
-    """``id_col, part, size, container``: every item in a container of ``capacity``.
+    """``id_col, part, size, copy, container``: every item in a container of ``capacity``.
+
+    Items arrive in hashed order, the online setting, which the registered queries
+    use; with ``largest_first`` each shard is sorted by size before, which helps where
+    a shard holds few items for the number of levels.
 
-    No item is split unless it alone exceeds the capacity.  Repeated ids are items of
-    their own (``row`` tells them apart); an empty table gives no rows.
+    No item is split unless it alone exceeds the capacity.  Repeated ids, also null
+    ones, are items of their own; ``copy`` tells equal ones apart.  Items of size 0 go
+    to the first container of their shard.  An empty table gives no rows.
     """
-    items = stage(split_oversized(sizes, id_col, size_col, capacity), "items")
-    items = stage(items.withColumn("row", F.monotonically_increasing_id()), "items")
-    whole = items.where(F.col("size") >= capacity).withColumn("shard", F.lit(-1)).withColumn("box", F.col("row"))
-    first = stage(_pack(items.where(F.col("size") < capacity), ["row"], capacity, shard_items).unionByName(whole), "boxes")
-    fills = first.groupBy("shard", "box").agg(F.sum("size").alias("fill"))
-    good = fills.where(F.col("fill") >= GOOD_FILL * capacity).select("shard", "box")
-    closed = first.join(good, ["shard", "box"]).withColumn("container", F.concat_ws("-", F.lit("a"), "shard", "box"))
-    again = stage(first.join(good, ["shard", "box"], "left_anti").select(*items.columns), "again")
-    packed = _pack(again, ["row"], capacity, shard_items).withColumn("container", F.concat_ws("-", F.lit("b"), "shard", "box"))
-    cols = [id_col, "part", "row", "size", "container"]
-    return closed.select(*cols).unionByName(packed.select(*cols))
+    items = stage(_items(sizes, id_col, size_col, capacity), "items")
+    key = [id_col, "part", "size", "copy"]
+    full = items.where(F.col("size") >= capacity).withColumn(
+        "container", F.concat_ws("-", F.lit("full"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "part", "copy")
+    )
+    first = stage(_arrive(items.where(F.col("size") < capacity), key, "a", capacity, shard_items, largest_first), "first")
+    fill = first.groupBy("container").agg(F.sum("size").alias("_fill"))
+    closed = fill.where(F.col("_fill") >= CLOSED_FILL * capacity).select("container")
+    left = stage(first.join(closed, "container", "left_anti").select(*key), "left")
+    out = first.join(closed, "container", "left_semi").select(*key, "container")
+    return out.unionByName(_arrive(left, key, "b", capacity, shard_items, largest_first)).unionByName(full)
+
+
+def _arrive(items: DataFrame, key: list[str], name: str, capacity: int, shard_items: int, largest_first: bool) -> DataFrame:
+    """``items`` (staged) with ``container``: packed by shards of their hash, one after the other."""
+    hashed = items.withColumn("_h", F.xxhash64(F.lit(name), *key))
+    shards = max(1, -(-items.count() // shard_items))
+    fields = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_h", *key], kind="stable")
+        if largest_first:
+            pdf = pdf.sort_values("size", ascending=False, kind="stable")
+        packer = SumOfSquares(capacity)
+        box = [packer.place(int(s)) if s else 0 for s in pdf["size"]]
+        pdf["container"] = [f"{name}-{i}-{b}" for i, b in zip(pdf["_shard"], box)]
+        return pdf[[*key, "container"]]
+
+    placed = hashed.withColumn("_shard", F.pmod("_h", F.lit(shards)).cast("int")).groupBy("_shard")
+    return placed.applyInPandas(run, f"{fields}, container string")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -122,3 +133,16 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.coalesce(F.ceil(F.sum("fill") / capacity), F.lit(0)).alias("least_containers"),
         F.coalesce(F.max("fill"), F.lit(0)).alias("max_fill"),
     )
+
+
+def audit(packed: DataFrame, sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+    """Per id: ``n_items`` packed under it, ``whole`` (its parts add up to its sizes), ``fits`` (no container of it overflows)."""
+    fill = packed.groupBy("container").agg((F.sum("size") <= capacity).alias("_fits"))
+    got = packed.join(fill, "container").groupBy(id_col).agg(
+        F.count_if(F.col("part") == 0).alias("n_items"), F.sum("size").alias("_got"), F.min("_fits").alias("fits")
+    )
+    due = sizes.groupBy(F.col(id_col).alias("_id")).agg(F.sum(F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0))).alias("_due"))
+    return due.join(got, F.col("_id").eqNullSafe(F.col(id_col)), "left").select(
+        F.col("_id").alias(id_col), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        F.coalesce(F.col("_got") == F.col("_due"), F.lit(False)).alias("whole"), F.coalesce("fits", F.lit(False)).alias("fits"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernmill.llm import bpe, encoding, overlap, packing, residue, sentences
-from kernmill.session import read_spread
+from kernmill.session import read_spread, stage
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -43,22 +43,22 @@ def _overlaps(spark, sf):
     cols = ["ex_id", "desc", "contexts", "source"]
     dev, test, train = (_read(spark, sf, t).select(*cols).withColumn("split", F.lit(t)) for t in ("dev", "test", "train"))
     ev = dev.unionByName(test)
-    return ev, train, overlap.split_overlaps(ev, train)
+    return ev, overlap.split_overlaps(ev, train)
 
 
 def p6_found(spark, sf):
-    _, _, found = _overlaps(spark, sf)
+    _, found = _overlaps(spark, sf)
     ids = overlap.expand_pairs(found)
     return ids.select(F.least("e_id", "t_id").alias("ex_id_a"), F.greatest("e_id", "t_id").alias("ex_id_b"))
 
 
 def p6_report(spark, sf):
-    ev, train, found = _overlaps(spark, sf)
-    ids = overlap.expand_pairs(found)
+    ev, found = _overlaps(spark, sf)
+    per = overlap.overlap_counts(found)
     return (
-        ids.join(ev.select(F.col("ex_id").alias("e_id"), "split", "source"), "e_id")
+        per.join(ev.select(F.col("ex_id").alias("id"), "split", "source"), "id")
         .groupBy("split", "source")
-        .agg(F.countDistinct("e_id").alias("n_records"), F.count(F.lit(1)).alias("n_pairs"))
+        .agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_training").alias("n_pairs"))
     )
 
 
@@ -70,12 +70,33 @@ def p7_decoded(spark, sf):
     return bpe.decode_ids(p7_ids(spark, sf))
 
 
+def _sizes(spark, sf):
+    return bpe.count_tokens(_read(spark, sf, "documents"))
+
+
+def _packed(sizes):
+    return packing.pack(sizes, largest_first=False)
+
+
 def p8_containers(spark, sf):
-    return packing.pack(bpe.count_tokens(_read(spark, sf, "documents"))).select("doc_id", "part", "size", "container")
+    return _packed(_sizes(spark, sf)).select("doc_id", "part", "size", "container")
 
 
 def p8_report(spark, sf):
-    return packing.fill_report(packing.pack(bpe.count_tokens(_read(spark, sf, "documents"))))
+    return packing.fill_report(_packed(_sizes(spark, sf)))
+
+
+def p8_audit(spark, sf):
+    """Whether every document is packed once, whole, and in containers that hold."""
+    sizes = stage(_sizes(spark, sf), "sizes")
+    return packing.audit(stage(_packed(sizes), "packed"), sizes)
+
+
+def p8_tight(spark, sf):
+    """Whether the containers are at most one in a hundred (and one) more than the least possible, and none overflows."""
+    return p8_report(spark, sf).select(
+        (F.col("n_containers") <= F.col("least_containers") * 1.01 + 1).alias("tight"), (F.col("max_fill") <= packing.CAPACITY).alias("fits")
+    )
 
 
 def p9_found(spark, sf):
@@ -102,6 +123,8 @@ QUERIES = {
     "p7_decoded": p7_decoded,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p8_audit": p8_audit,
+    "p8_tight": p8_tight,
     "p9_found": p9_found,
     "p9_sentences": p9_sentences,
 }
@@ -128,5 +151,7 @@ pair AS (
 ORACLE = {
     "p6_found": _P6 + "SELECT least(e, t) AS ex_id_a, greatest(e, t) AS ex_id_b FROM hit",
     "p6_report": _P6 + "SELECT split, source, count(DISTINCT e) AS n_records, count(*) AS n_pairs FROM hit GROUP BY split, source",
+    "p8_audit": "SELECT doc_id, CAST(1 AS BIGINT) AS n_items, true AS whole, true AS fits FROM documents",
+    "p8_tight": "SELECT true AS tight, true AS fits",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -105,3 +105,19 @@ def test_sum_of_squares_choice():
     a = p.place(6)
     assert p.place(4) == a
     assert p.place(10) not in (a,)
+
+
+def test_packing_does_not_depend_on_the_layout(spark):
+    random.seed(5)
+    d = spark.createDataFrame([(i % 200, random.randint(0, 120)) for i in range(600)], "doc_id long, n_tokens long")
+    runs = [sorted(map(tuple, packing.pack(x, capacity=100, shard_items=150, largest_first=False).collect())) for x in (d, d.repartition(7), d.coalesce(1))]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_packing_comes_near_the_bound(spark):
+    random.seed(8)
+    d = spark.createDataFrame([(i, int(random.lognormvariate(5, 1)) + 1) for i in range(4000)], "doc_id long, n_tokens long")
+    packed = packing.pack(d, capacity=2048, shard_items=1000, largest_first=False)
+    r = packing.fill_report(packed).first()
+    assert r["n_containers"] <= r["least_containers"] * 1.02 and r["max_fill"] <= 2048
+    assert all(x["n_items"] == 1 and x["whole"] and x["fits"] for x in packing.audit(packed, d).collect())

@@ -19,8 +19,13 @@ def _sim(a, b):
 
 def _run(spark, ev, tr, t=0.8):
     mk = lambda rows: spark.createDataFrame([(i, d, c, "x", 1) for i, d, c in rows], SCHEMA)
-    found = overlap.expand_pairs(overlap.split_overlaps(mk(ev), mk(tr), threshold=t)).collect()
+    split = overlap.split_overlaps(mk(ev), mk(tr), threshold=t)
+    found = overlap.expand_pairs(split).collect()
     got = Counter((r["e_id"], r["t_id"]) for r in found)
+    apart = overlap.expand_pairs(overlap.split_overlaps(mk(ev), mk(tr), threshold=t, broadcast_words=-1)).collect()
+    assert sorted(map(str, apart)) == sorted(map(str, found))
+    per = {r["id"]: r["n_training"] for r in overlap.overlap_counts(split).collect()}
+    assert per == {e: sum(n for (a, _), n in got.items() if a == e) for e in {a for a, _ in got}}
     want = Counter((e[0], x[0]) for e in ev for x in tr if _sim(_text(*e[1:]), _text(*x[1:])) >= t - 1e-12 and _sim(_text(*e[1:]), _text(*x[1:])) > 0)
     assert got == want
     return got
@@ -63,3 +68,13 @@ def test_hot_words_are_salted(spark, monkeypatch):
     monkeypatch.setattr(overlap, "HOT_ROWS", 5)
     tr = [(i, "same old words here " + "abc"[i % 3], None) for i in range(40)]
     _run(spark, [(100, "same old words here a", None), (101, "here words old same q", None)], tr)
+
+
+def test_scan_in_small_pieces(spark, monkeypatch):
+    tr = [(i, "same old words here " + "abc"[i % 3], None) for i in range(40)]
+    ev = [(100 + i, "same old words here " + "abcdefg"[i], None) for i in range(7)]
+    b = overlap.bags(spark.createDataFrame([(i, d) for i, d, _ in ev], "id long, t string"), "id", "t")
+    p = overlap.make_probes(overlap._classes(b).toArrow(), 0.8)
+    whole = overlap.scan_texts([d for _, d, _ in tr], p, 0.8)
+    monkeypatch.setattr(overlap, "HITS_AT_ONCE", 3)
+    assert sorted(overlap.scan_texts([d for _, d, _ in tr], p, 0.8)) == sorted(whole) and len(whole) == 280
