@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from kernmill.session import stage
 
-MAX_HOT = 256
-
 #: Keys with more than this part of all rows are hot, so there are fewer of them than this.
 HOT_PARTS = 4096
 
