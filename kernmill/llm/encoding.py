@@ -2,11 +2,13 @@
 
 A chain is what happened to a text: encoded by one codec and decoded by another,
 perhaps twice.  A multinomial classifier over hashed byte bigrams learns each chain
-from records garbled on purpose and the clean class from the records themselves;
-at inference the most likely chain that inverts strictly, changes the text and
-yields plausible characters is taken: for the whole value, else for its words, else
-for single damaged sequences.  What no chain inverts is still named if it holds
-replacement characters, stray control codes or damaged runs.
+from records garbled on purpose, damage that has lost characters from such records
+with some taken away, and the clean class from the records themselves.  At inference
+the chains that the classifier holds for more likely than clean are inverted, the
+likeliest first that inverts strictly, changes the text and reads better: for the
+whole value, else for its words, else for single damaged sequences.  What no chain
+inverts is still named if the classifier takes it for damage with losses or if it
+holds replacement characters or stray control codes.
 """
 
 from __future__ import annotations
@@ -24,6 +26,13 @@ BUCKETS = 8192
 #: Rows the classifier is fitted on, those with the smallest hashed row number.
 TRAIN_ROWS = 3_000
 MIN_ODDS_LEGACY = 4.0
+#: Where few characters tell, and for Latin letters that become Latin letters, the odds must be better.
+FEW_SIGNS, MIN_ODDS_SHORT, MIN_ODDS_LATIN = 6, 20.0, 30.0
+#: and the restored text must be so much likelier as a clean one.
+MIN_GAIN_FEW = 30.0
+#: By how much the mean log probability must rise where a chain only swaps letters of one alphabet.
+MIN_GAIN_SWAP = 0.5
+MIN_ODDS_LOSSY = 12.0
 PRIOR_STRICT_UTF8 = 7.0
 #: Weight of the mean log probability of a restored text against the odds of its chain.
 WEIGHT_EASE = 10.0
@@ -63,30 +72,40 @@ CHAINS = {
     "gbk-as-latin1": (("gbk", "latin-1"),),
     "gbk-as-cp1252": (("gbk", "cp1252"),),
     "big5-as-latin1": (("big5", "latin-1"),),
+    "euckr-as-latin1": (("euc-kr", "latin-1"),),
+    "cp866-as-cp1251": (("cp866", "cp1251"),),
+    "cp1250-as-latin1": (("cp1250", "latin-1"),),
+    "cp1252-as-macroman": (("cp1252", "mac_roman"),),
+    "latin1-as-cp437": (("latin-1", "cp437"),),
 }
-CLEAN = "clean"
-CLASSES = (CLEAN, *CHAINS)
+CLEAN, LOSSY = "clean", "lossy"
+CLASSES = (CLEAN, *CHAINS, LOSSY)
+#: Codecs whose strict decoding says something; of a single-byte codec all but any bytes decode.
+MULTI_BYTE = frozenset({"cp932", "euc-jp", "gbk", "big5", "euc-kr"})
+#: Chains between two Western or Central European codecs.
+LATIN_CHAINS = frozenset({"cp1250-as-latin1", "cp1252-as-macroman", "latin1-as-cp437"})
 UTF8_CHAINS = frozenset(c for c in CHAINS if c.startswith("utf8"))
 #: Chains through western codecs, where chance sequences are rare.
 WESTERN = frozenset(
     "utf8-as-cp1252 utf8-as-latin1 utf8-as-macroman utf8-as-cp437 utf8-as-cp850 utf8-as-cp1254 utf8-as-iso8859-15 "
     "utf8-as-cp1252-twice utf8-as-latin1-twice utf8-as-macroman-twice".split()
 )
-#: Between these codecs upper and lower case change places.
-CASE_SWAPPING = frozenset({"koi8r-as-cp1251", "cp1251-as-koi8r"})
+#: Between these codecs letters stay letters of the same alphabet.
+SWAPPING = frozenset({"koi8r-as-cp1251", "cp1251-as-koi8r", "cp866-as-cp1251"})
 #: Codecs that leave bytes undefined; decoders in use pass those on as control codes.
 LOOSE_CODECS = frozenset({"cp1250", "cp1251", "cp1252", "cp1253", "cp1254"})
 
-_LOSSY = re.compile("[\ufffd\x80-\x84\x86-\x9f\ue000-\uf8ff]")
+_LOST = re.compile("[\ufffd\x80-\x84\x86-\x9f\ue000-\uf8ff]")
 _CUT_OFF = re.compile(rb"[\xc2-\xf4][\x80-\xbf]|^[\xc2-\xc5]$")
-_UTF8_RUN = re.compile(rb"[\xc3-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|\xc2[\xa0-\xbf]")
+_DROPPED = re.compile("[\x80-\x9f\xad]")
+_C1 = re.compile("[\x80-\x9f]")
 
 
 def _encode(text: str, codec: str) -> bytes | None:
     try:
         return text.encode(codec)
     except UnicodeEncodeError:
-        if codec not in LOOSE_CODECS:
+        if codec not in LOOSE_CODECS or not _C1.search(text):
             return None
     out = bytearray()
     for ch in text:
@@ -133,11 +152,29 @@ def _plausible(text: str) -> bool:
     return True
 
 
-def restore(text: str, chain: str) -> str | None:
-    """The text before ``chain``, if every step inverts strictly and the result is plausible."""
+def truncate(text: str) -> str | None:
+    """A garbled text after losing what many programs drop: control codes and soft hyphens, hard blanks becoming blanks.
+
+    One that has none loses its last non-ASCII character.  None where nothing is left of the damage.
+    """
+    out = _DROPPED.sub("", text).replace("\xa0", " ")
+    if out == text:
+        last = next((i for i in range(len(text) - 1, -1, -1) if text[i] > "\x7f"), 0)
+        out = text[:last] + text[last + 1 :]
+    return None if out.isascii() else out
+
+
+def restore(text: str, chain: str, encoded: dict | None = None) -> str | None:
+    """The text before ``chain``, if every step inverts strictly and the result is plausible.
+
+    ``encoded`` keeps the text's bytes by codec over several calls.
+    """
     out = text
     for own, wrong in reversed(CHAINS[chain]):
-        data = _encode(out, wrong)
+        if out is text and encoded is not None:
+            data = encoded[wrong] if wrong in encoded else encoded.setdefault(wrong, _encode(text, wrong))
+        else:
+            data = _encode(out, wrong)
         if data is None:
             return None
         try:
@@ -165,6 +202,14 @@ class Model:
         s = self.weights[:, _features(text)].sum(axis=1)
         return s - s[0]
 
+    def loss(self, text: str) -> float:
+        """Log odds of damage with losses against clean, also as clean as the text would be in small letters."""
+        return float(self.weights[-1, _features(text)].sum()) - max(self.clean(text), self.clean(text.lower()))
+
+    def clean(self, text: str) -> float:
+        """Log probability of a text under the clean class."""
+        return float(self.weights[0, _features(text)].sum())
+
     def ease(self, text: str) -> float:
         """Mean log probability of a bigram under the clean class; 0 for plain ASCII."""
         f = _features(text)
@@ -174,10 +219,12 @@ class Model:
 def fit(values: list[str]) -> Model:
     """Fit on values most of which are clean; two rounds, the second without what the first finds garbled."""
     values = sorted({v for v in values if v and not v.isascii()})
-    pool = [v for v in values if not _LOSSY.search(v) and not any(restore(v, c) for c in UTF8_CHAINS)]
+    pool = [v for v in values if not _LOST.search(v) and not any(restore(v, c) for c in UTF8_CHAINS)]
     seen: list[list] = [[(i, _features(v)) for i, v in enumerate(pool)]]
     for c in CHAINS:
         seen.append([(i, _features(g)) for i, v in enumerate(pool) if (g := garble(v, c)) is not None])
+    single = [c for c, steps in CHAINS.items() if c in WESTERN and len(steps) == 1]
+    seen.append([(i, _features(t)) for i, v in enumerate(pool) for c in single if (g := garble(v, c)) and (t := truncate(g))])
     kept = set(range(len(pool)))
     for _ in range(2):
         own = [[f for i, f in x if i in kept] for x in seen]
@@ -196,8 +243,7 @@ def _sequence_pattern(codec: str, leads_to: int = 0xF5) -> str:
 
 
 _ALPHABETS = (re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]"), re.compile("[\u0370-\u03ff]"), re.compile("[\u0400-\u052f]"),
-              re.compile("[\u3041-\u30ff\u3400-\u9fff]"))
-_SWAPPED_CASE = re.compile("[\u0430-\u044f\u0451][\u0410-\u042f\u0401]")
+              re.compile("[\u3041-\u30ff\u3400-\u9fff]"), re.compile("[\u1100-\u11ff\uac00-\ud7a3]"))
 
 
 def _mixed(text: str) -> bool:
@@ -227,49 +273,78 @@ _WESTERN_RUNS = [
 #: Closing signs that may follow a genuine letter where the opening one stands in the text.
 PAIRED = {"«": "»", "“": "”", "„": "“”", "‘": "’", "‹": "›"}
 
-PARTIAL_CODECS = ("cp1252", "mac_roman", "cp437", "cp850", "koi8-r", "cp1251")
-
+def _reads(text: str, fixed: str, chain: str, gain: float, lost: int) -> bool:
+    """Whether a restored text may stand for the damaged one: it reads better (``gain``: of the mean for UTF-8 and swapping
+    chains, else of the whole log probability), or several intact western sequences speak for it."""
+    if _mixed(fixed):
+        return False
+    if chain in LATIN_CHAINS or chain in SWAPPING:
+        return gain >= MIN_GAIN_SWAP and not _CASE_BREAK.search(fixed)
+    if chain not in UTF8_CHAINS and not all(_single_script(w) for w in fixed.split(" ") if not w.isascii()):
+        return False
+    return gain > 0 or (chain in WESTERN and lost >= 2 and not _RARE.search(fixed))
 
-def _partial(text: str) -> bool:
-    """Whether damaged runs of some UTF-8 chain make up most of the non-ASCII text."""
-    strange = sum(not ch.isascii() for ch in text)
-    for wrong in PARTIAL_CODECS:
-        data = b"".join(ch.encode(wrong, "ignore") or b"?" for ch in text)
-        runs = _UTF8_RUN.findall(data)
-        if len(runs) >= 2 and 2 * sum(map(len, runs)) >= strange:
-            return True
-    return False
 
+def _whole(text: str, model: Model, few: bool = False) -> tuple[str, str | None]:
+    """Most likely chain that inverts all of a text, and the text restored.
 
-def _whole(text: str, model: Model, chains=CHAINS) -> tuple[str, str | None]:
-    """Most likely chain that inverts all of a text, and the text restored."""
-    undone = {c: fixed for c in chains if (fixed := restore(text, c)) is not None}
-    if not undone:
+    Only chains that the classifier prefers to clean are inverted; with ``few``, where
+    few characters tell, legacy chains must be multi-byte and their odds better.
+    """
+    odds = model.odds(text)
+    prior = _PRIOR_FEW if few else _PRIOR
+    likely = np.flatnonzero(odds[1:-1] + prior > 0)
+    if not len(likely):
         return CLEAN, None
-    odds, ease = model.odds(text), model.ease(text)
+    plain, encoded = model.ease(text), {}
     best = (-np.inf, CLEAN, None)
-    for k, c in enumerate(CHAINS, 1):
-        legacy = c not in UTF8_CHAINS
-        if c not in undone or odds[k] + (-MIN_ODDS_LEGACY if legacy else PRIOR_STRICT_UTF8) <= 0:
+    for k in likely:
+        c = _NAMES[k]
+        fixed = restore(text, c, encoded)
+        if fixed is None:
             continue
-        fixed = undone[c]
-        if _mixed(fixed):
+        gained, ease = model.ease(fixed), plain
+        if c in SWAPPING:
+            # a word in capitals reads no worse than in small letters
+            gained, ease = model.ease(fixed.lower()), model.ease(text.lower())
+        gain = gained - ease
+        if c not in UTF8_CHAINS and c not in LATIN_CHAINS and c not in SWAPPING:
+            gain = model.clean(fixed) - model.clean(text)
+            if few and (gain < MIN_GAIN_FEW or CHAINS[c][0][0] not in MULTI_BYTE):
+                continue
+        if not _reads(text, fixed, c, gain, sum(ord(ch) > 127 for ch in fixed)):
             continue
-        # several intact sequences of a western chain speak for themselves, else the result must read better
-        lost = sum(ord(ch) > 127 for ch in fixed)
-        gained = model.ease(fixed)
-        if gained <= ease and not (c in WESTERN and lost >= 2 and not _RARE.search(fixed)):
-            continue
-        if legacy and not _single_script(fixed):
-            continue
-        if c in CASE_SWAPPING and not _SWAPPED_CASE.search(text):
-            continue
-        score = odds[k] + (0 if legacy else PRIOR_STRICT_UTF8) + WEIGHT_EASE * gained
+        score = odds[k + 1] + (PRIOR_STRICT_UTF8 if c in UTF8_CHAINS else 0) + WEIGHT_EASE * gained
         if score > best[0]:
             best = (score, c, fixed)
     return best[1], best[2]
 
 
+_NAMES = list(CHAINS)
+
+
+def _priors(legacy: float) -> np.ndarray:
+    return np.array([PRIOR_STRICT_UTF8 if c in UTF8_CHAINS else -(max(legacy, MIN_ODDS_LATIN) if c in LATIN_CHAINS else legacy) for c in CHAINS])
+
+
+_PRIOR, _PRIOR_FEW = _priors(MIN_ODDS_LEGACY), _priors(MIN_ODDS_SHORT)
+
+
+_UTF8_RUN = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
+def _intact(text: str) -> bool:
+    """Whether some sequence of a western chain has stayed whole and decodes strictly."""
+    for wrong in {CHAINS[c][-1][1] for c in WESTERN}:
+        for run in _UTF8_RUN.findall(b"".join(ch.encode(wrong, "ignore") or b"?" for ch in text)):
+            try:
+                if not _RARE.search(made := run.decode()) and _plausible(made):
+                    return True
+            except UnicodeDecodeError:
+                continue
+    return False
+
+
 def _still_damaged(words: list[str], chain: str) -> bool:
     """Whether words left as they are hold a lead of a western chain cut off from what follows it."""
     if chain not in WESTERN:
@@ -280,7 +355,7 @@ def _still_damaged(words: list[str], chain: str) -> bool:
 
 
 def _words(text: str, model: Model) -> tuple[str, str | None]:
-    """Damage of some words only: first all non-ASCII words together, then each by itself under the UTF-8 chains."""
+    """Damage of some words only: first all non-ASCII words together, then each by itself."""
     words = text.split(" ")
     strange = [i for i, w in enumerate(words) if not w.isascii()]
     if len(words) == 1:
@@ -288,7 +363,7 @@ def _words(text: str, model: Model) -> tuple[str, str | None]:
     if len(strange) < len(words):
         joined = " ".join(words[i] for i in strange)
         # a short Latin word may consist of accented letters only
-        chain, fixed = _whole(joined, model, CHAINS if sum(not ch.isascii() for ch in joined) >= 6 else UTF8_CHAINS)
+        chain, fixed = _whole(joined, model, sum(not ch.isascii() for ch in joined) < FEW_SIGNS)
         parts = fixed.split(" ") if fixed else []
         if len(parts) == len(strange):
             for i, w in zip(strange, parts):
@@ -296,7 +371,7 @@ def _words(text: str, model: Model) -> tuple[str, str | None]:
             return chain, " ".join(words)
     first, left = CLEAN, []
     for i in strange if len(strange) > 1 else ():
-        chain, fixed = _whole(words[i], model, UTF8_CHAINS)
+        chain, fixed = _whole(words[i], model, True)
         if chain != CLEAN:
             words[i] = fixed
             first = chain if first == CLEAN else first
@@ -304,7 +379,7 @@ def _words(text: str, model: Model) -> tuple[str, str | None]:
             left.append(words[i])
     if first == CLEAN:
         return CLEAN, None
-    return ("lossy", None) if _still_damaged(left, first) else (first, " ".join(words))
+    return (LOSSY, None) if _still_damaged(left, first) else (first, " ".join(words))
 
 
 def _runs(text: str, model: Model) -> tuple[str, str | None]:
@@ -331,7 +406,7 @@ def _runs(text: str, model: Model) -> tuple[str, str | None]:
         if hits and not _mixed(fixed):
             # a lead sign without its follower in a word with an intact sequence has lost it
             lone = any(ch in leads[:4] for w in text.split(" ") if pattern.search(w) for ch in pattern.sub("", w))
-            return ("lossy", None) if lone else (chain, fixed)
+            return (LOSSY, None) if lone else (chain, fixed)
     return CLEAN, None
 
 
@@ -342,13 +417,19 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
     """
     if not text or text.isascii():
         return CLEAN, None
-    for look in (_whole, _words):
-        chain, fixed = look(text, model)
-        if chain != CLEAN:
-            return ("lossy", None) if fixed and _LOSSY.search(fixed) else (chain, fixed)
-    if _LOSSY.search(text) or _partial(text):
-        return "lossy", None
-    return _runs(text, model)
+    beside = any(w.isascii() and w.isalpha() for w in text.split(" "))
+    few = beside and sum(not ch.isascii() for ch in text) < FEW_SIGNS
+    chain, fixed = _whole(text, model, few)
+    if chain == CLEAN:
+        chain, fixed = _words(text, model)
+    if chain != CLEAN:
+        return (LOSSY, None) if fixed and _LOST.search(fixed) else (chain, fixed)
+    if _LOST.search(text):
+        return LOSSY, None
+    chain, fixed = _runs(text, model)
+    if chain == CLEAN and model.loss(text) >= MIN_ODDS_LOSSY and _intact(text):
+        return LOSSY, None
+    return chain, fixed
 
 
 def train(items: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:

@@ -98,3 +98,16 @@ def test_kanji_names_are_judged_under_every_chain(words, model, chain):
     held = [w for w in sorted(set(held)) if (g := E.garble(w, chain)) is not None and not g.isascii() and E.restore(g, chain)]
     assert len(held) > 30
     assert sum(E.judge(E.garble(w, chain), model)[0] != E.CLEAN for w in held) == len(held)
+
+
+@pytest.mark.parametrize("good, chain", [
+    ("Москва NATO", "cp1251-as-latin1"), ("футболист клуба CSKA", "koi8r-as-latin1"), ("南東 Beijing", "gbk-as-latin1"), ("Tokyo 東西南", "sjis-as-cp1252"),
+])
+def test_legacy_damage_beside_latin_words(model, good, chain):
+    assert E.judge(E.garble(good, chain), model)[1] == good
+
+
+def test_damage_with_losses_is_learned(words, model):
+    held = [w for w in words[len(words) * 3 // 4 :] if "a" <= w[-7:-6] <= "z" or w[0] > "Ͱ"]
+    cut = [t for w in held if (g := E.garble(w, "utf8-as-cp1252")) and (t := E.truncate(g)) and t != w]
+    assert len(cut) > 100 and sum(E.judge(t, model)[0] != E.CLEAN for t in cut) / len(cut) > 0.9
