@@ -1,12 +1,14 @@
 """Template residue, filler text, error pages and script notices (problem 3).
 
-Every description and sentence is a segment.  Detectors of two grades look at it:
-firm ones (placeholder syntax, filler Latin, error responses, script notices, whole
-segments of retry advice) name it by themselves; loose ones (text that addresses a
-reader, bare labels) only if weighed evidence agrees: the segment holds nothing but
-reader's words, stands beside other segments or beside firm residue in its row, and
-stands, with the terms of its record's slug masked, under several titles and hosts.
-It must share no content word with its own title.  All detectors are JVM regular
+Every description and sentence is a segment, and evidence is weighed for each of
+them.  The segment's terms are compared with those of its slug (the record's title)
+and of its body (the record's other segments); with the slug's terms masked its
+shape is counted over all titles and hosts (the record's source).  A segment that
+recurs under several titles and hosts, shares no term with its own title or body and
+whose words hardly occur outside it says nothing about any of them: it is a
+duplicated response, whatever its language.  Detectors for placeholders, filler,
+error responses, notices and words addressed to a reader are further evidence; what
+they say weighs less where the segment speaks of its own title.  All of it is JVM
 expressions.
 """
 
@@ -17,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kernmill.operators.skew import hot_counts, salted_lookup
 from kernmill.session import stage
 
 #: Words of the usual made-up Latin.
@@ -41,7 +44,7 @@ PLACEHOLDERS = (
     r"<<[A-Z_ ]+>>|<[A-Z][A-Z_ ]+>|\[\[[A-Z][A-Z_ ]+\]\]|\[[A-Z][A-Z_ ]{2,}\]|(?i:\[\s?(?:insert|add|enter|your|description|title|name|placeholder)\b[^\]]*\])",
     r"(?i:<\s?(?:insert|add|enter|your)\b[^>]*>|\(\s?your [\w ]+ here\s?\))",
     r"#(?:VALUE!|REF!|NAME\?|N/A|DIV/0!|NULL!)|\[object \w+\]|@LINK\b|\bNaN\b",
-    r"\b(?:TODO|FIXME|TBD|TBA)\b|\bX{3,}\b|(?i:\bx{4,}\b)",
+    r"\b(?:TODO|FIXME|TBD|TBA)\b(?!\s+(?:is|are|was|were|has|had|stands)\b)|\bX{3,}\b|(?i:\bx{4,}\b)",
     r"(?i:\b(undefined|null|none|nil)\b(?: (?:in|of|from|by|and|near|is an?))? \1\b)",
 )
 
@@ -57,7 +60,7 @@ FILLERS = (
 
 #: Error responses.
 ERRORS = (
-    r"\b[1-9]\d{2}\s*[-–—|:(]*\s*(?:" + REASONS + r")\b",
+    r"^\W*(?:(?:the|a|an|http|https|error|status|code|response|server|replied|said|sent|returned|fehler|erreur)\b\W*)*[1-9]\d{2}\s*[-–—|:(]*\s*(?:" + REASONS + r")\W*(?:$|[|(:;,.–—-]|\b(?:after|try|please|nginx|apache|for|at|on)\b)",
     r"^\W*(?:http|error|status|code|fehler|erreur|server (?:replied|said|returned|error))\W*(?:code|status|error)?\W*\d{3,5}\b",
     r"^\W*(?:" + REASONS + r")\W*(?:after\b.*|\(.*)?$",
     r"^\W*(?:page|seite|página|article|file) (?:not found|nicht gefunden|no encontrada)|\bpage (?:demandée )?est introuvable|страница не (?:найдена|существует)",
@@ -73,7 +76,7 @@ ERRORS = (
 NOTICES = (
     r"\b(?:enable|activate|allow|turn on|switch on|unblock)\b[^.]{0,12}\b(?:javascript|scripts?|cookies|js)\b",
     r"\b(?:javascript|scripts?|cookies)\b[^.]{0,30}\b(?:must|need|needs|has|have)\b[^.]{0,10}\bbe (?:enabled|allowed|activated|turned on|switched on)",
-    r"\bbrowser\b[^.]{0,30}\b(?:javascript|scripts?|cookies)\b|\b(?:needs|requires|need|require) (?:javascript|scripts|cookies)\b|\b(?:javascript|scripts?|cookies) (?:is|are) (?:disabled|required|blocked|turned off|switched off)",
+    r"\bbrowser\b[^.]{0,30}\b(?:javascript|scripts?|cookies)\b|\b(?:needs|requires|need|require) (?:javascript|scripts|cookies)(?=\W*$|\s*[,.;:]|\s+(?:to|enabled|and|or|in|for|support)\b)|\b(?:javascript|scripts?|cookies) (?:is|are) (?:disabled|required|blocked|turned off|switched off)",
     r"\b(?:activer|activez|autoriser)\b[^.]{0,20}\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts?|cookies)\b[^.]{0,20}\b(?:aktivieren|einschalten|erlauben|zulassen)\b|\bbenötigt (?:javascript|scripts?|cookies)|\b(?:active|habilite|activar|habilitar|permita)\b[^.]{0,12}\b(?:javascript|scripts?|cookies)\b|включите (?:javascript|скрипты|cookies)",
 )
 
@@ -110,22 +113,18 @@ LOOSE = (
     r"^\W*(?:error|reference|request id|code|status|warning)\b[\W\d]*$|^\W*(?:test|asdf|qwerty|blah|foo|bar)\b",
 )
 
-#: Every detector above needs one of these words or signs; what has none is not looked at further.
-TRIGGER_WORDS = (
-    "text content description title name here placeholder untitled added written filled done announced paragraph описание "
-    "текст hier einfügen venir compléter ajouter aquí pendiente javascript script scripts cookie cookies js скрипты bad "
-    "unauthorised unauthorized forbidden found gone allowed time timeout conflict requests internal implemented unavailable "
-    "unknown http status code fehler erreur server seite página article file introuvable страница page denied permission "
-    "wrong request connection session gateway site service system warning notice upstream human robot traceback fatal parse uncaught "
-    "verify verifying you your we our us please sorry oops bitte veuillez désolé пожалуйста попробуйте try reload sign log "
-    "come check take click reference test asdf qwerty blah foo bar todo"
-).split()
-TRIGGER_SIGNS = r"[{}<>\[\]%$@_|]|#[A-Z{]|\bNaN\b|\b(?:TODO|FIXME|TBD|TBA)\b|X{3}|(?i:x{4}|undefined|\bnull\b|\bnone\b|\bnil\b)"
+#: Evidence.  A detector of a kind by itself; a term of the own title against an error; for words addressed to a reader: nothing
+#: else said, other segments in the row, firm residue in the row; each doubling of titles and of hosts.  The sum must reach ``ENOUGH``.
+FIRM = {"placeholder": 3.0, "filler": 2.5, "notice": 2.5, "error": 2.5}
+OWN_TITLE, READER_ONLY, BESIDE_TEXT, BESIDE_FIRM, PER_TITLES, PER_HOSTS = -1.0, 1.1, 0.5, 0.5, 1.0, 0.25
+ENOUGH = 1.58
+#: A duplicated response without any detector: this much of titles and hosts, this part of its words' occurrences in it, so many
+#: words in a description (of which a word or two may be shared by many records of a kind).
+ENOUGH_ALONE, CLOSED, DESC_WORDS = 2.25, 0.5, 3
+
 
-#: Evidence for a loose segment: only reader's words, other segments in the row, firm residue in the row's other field,
-#: each doubling of the titles and of the hosts it stands under; it must reach the sum that ``MIN_TITLES`` titles alone have.
-READER_ONLY, BESIDE_TEXT, BESIDE_FIRM, PER_TITLES, PER_HOSTS = 1.1, 0.5, 0.5, 1.0, 0.25
-MIN_TITLES = 3
+#: All but letters of scripts that write without blanks.
+UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsHangul}]+"
 
 
 def _any(text: Column, patterns: tuple, flags: str = "") -> Column:
@@ -137,12 +136,14 @@ def _words(text: Column) -> Column:
 
 
 def segments(merged: DataFrame) -> DataFrame:
-    """``rec_id, host, title, field, seg, beside``: each non-blank description and sentence, and whether the row has others.
+    """``rec_id, host, title, field, seg, beside``: each non-blank sentence of desc and text, and whether the row has others.
 
     Null and blank fields, paragraphs and sentences have none.  Only the columns
     named are read.
     """
-    desc = F.array(F.struct(F.lit("desc").alias("field"), F.col("desc").alias("seg")))
+    # the tokenised sentences of text are segments as they are; a description is cut at its sentence ends
+    parts = F.split(F.coalesce("desc", F.lit("")), r"(?<=[.!?])\s+(?=\S)|(?<=[。！？।])")
+    desc = F.transform(parts, lambda s: F.struct(F.lit("desc").alias("field"), s.alias("seg")))
     sents = F.transform(
         F.flatten(F.filter("text", lambda p: p.isNotNull())), lambda s: F.struct(F.lit("text").alias("field"), s.alias("seg"))
     )
@@ -160,13 +161,14 @@ def _slug() -> Column:
 
 
 def graded(segs: DataFrame) -> DataFrame:
-    """Segments with ``firm`` (kind of residue or null), ``loose`` and ``reader`` (only reader's words); others are left out."""
-    s = F.col("seg")
-    w = F.col("_w")
-    known = [*TRIGGER_WORDS, *FILLER_LATIN]
-    called = F.exists(w, lambda x: x.isin(known) | x.endswith("error") | x.endswith("exception"))
-    repeats = (F.size(w) >= 2) & (F.element_at(w, 1) == F.element_at(w, -1))
-    with_words = segs.withColumn("_w", _words(s)).where(s.rlike(TRIGGER_SIGNS) | called | repeats)
+    """All segments with what the detectors and the terms say.
+
+    ``firm`` (kind of residue or null), ``loose`` (words addressed to a reader),
+    ``reader`` (nothing but such), ``shape`` (hash of the words and numbers with the
+    slug's terms masked), ``own`` (shares a term with its slug), ``terms`` (its
+    distinct content words), ``size`` (their number).
+    """
+    s, w = F.col("seg"), F.col("_w")
     latin = F.size(F.filter(w, lambda x: x.isin(FILLER_LATIN)))
     all_latin = (latin >= 3) & (latin * 2 >= F.size(w))
     # one word over and over: three times, or twice in lower case
@@ -175,48 +177,80 @@ def graded(segs: DataFrame) -> DataFrame:
         F.when(_any(s, PLACEHOLDERS), "placeholder")
         .when(all_latin | same | _any(s, FILLERS, "(?iU)"), "filler")
         .when(_any(s, NOTICES, "(?iU)"), "notice")
-        .when(_any(s, ADVICE, "(?iU)") & ~F.arrays_overlap(w, _slug()), "notice")
+        .when(_any(s, ADVICE, "(?iU)") & ~F.arrays_overlap(w, F.col("_slug")), "notice")
         .when(_any(s, ERRORS, "(?iU)") & ~s.rlike(r"(?i)\bshows? (?:an |the )?error"), "error")
     )
+    terms = F.array_except(w, F.lit(FUNCTION_WORDS))
+    masked = F.transform(F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}+|\p{N}+"), F.lit(0)), lambda x: F.when(F.array_contains("_slug", x), "*").otherwise(x))
     return (
-        with_words.withColumn("firm", firm)
+        segs.withColumn("_w", _words(s))
+        .withColumn("_slug", _slug())
         .withColumn("loose", _any(s, LOOSE, "(?iU)"))
-        .withColumn("reader", (_any(s, LOOSE[:2], "(?iU)") | s.rlike(r"\d")) & (F.size(F.array_except(w, F.lit([*READER_WORDS, *FUNCTION_WORDS]))) == 0))
-        .where(F.col("firm").isNotNull() | F.col("loose"))
-    )
+        .select(
+            "rec_id", "field", "host", F.xxhash64("title").alias("title"), "beside", firm.alias("firm"), "loose",
+            ((_any(s, LOOSE[:2], "(?iU)") | s.rlike(r"\d")) & (F.size(F.array_except(w, F.lit([*READER_WORDS, *FUNCTION_WORDS]))) == 0)).alias("reader"),
+            F.xxhash64(F.array_join(masked, " ")).alias("shape"), (F.size(F.array_intersect(w, F.col("_slug"))) > 0).alias("own"),
+            terms.alias("terms"),
+            # scripts without blanks: three letters pass for a word
+            (F.size(terms) + F.length(F.regexp_replace(s, UNSPACED, "")) / 3).cast("int").alias("size"),
+        )
+    )
+
 
+def _repeated(g: DataFrame) -> DataFrame:
+    """Segments without a detector's name whose shape stands under several titles: with ``titles``, ``hosts`` and ``closed``.
 
-def find_residue(merged: DataFrame, min_titles: int = MIN_TITLES) -> DataFrame:
+    ``closed`` is how far the terms of the shape occur in it only: the mean, over its
+    terms, of the part that this shape has in all segments that hold the term.
+    """
+    open_ = g.where("firm is null")
+    per_shape = open_.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("_a"), F.max("title").alias("_b"), F.max("terms").alias("terms"))
+    several = stage(per_shape.where("_a <> _b").select("shape", "n", "terms"), "several")
+    dup = stage(salted_lookup(open_, several.select("shape"), "shape", F.col("rec_id"), hot_counts(several, "shape", "n", 50_000)), "dup")
+    # an unknown host is none
+    seen = (
+        dup.select("shape", "title", "host").distinct().groupBy("shape")
+        .agg(F.count_distinct("title").alias("titles"), F.greatest(F.count_distinct("host"), F.lit(1)).alias("hosts"))
+    )
+    everywhere = g.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_all"))
+    closed = (
+        several.select("shape", "n", F.explode("terms").alias("term")).join(everywhere, "term")
+        .groupBy("shape").agg(F.avg(F.col("n") / F.col("_all")).alias("closed"))
+    )
+    facts = seen.join(closed, "shape", "left").select("shape", "titles", "hosts", F.coalesce("closed", F.lit(0.0)).alias("closed"))
+    return salted_lookup(dup, facts, "shape", F.col("rec_id"), hot_counts(several, "shape", "n", 50_000))
+
+
+def find_residue(merged: DataFrame) -> DataFrame:
     """``rec_id, field, kind``: fields that hold residue in any segment.
 
     ``kind`` is the first in the order placeholder, filler, notice, error, duplicate.
     Repeated rows count as records of their own but as one title in the evidence.
+    Empty tables give no rows.
     """
-    g = stage(graded(segments(merged)), "graded").withColumn("_slug", _slug()).withColumn(
-        "_shape", F.xxhash64(F.array_join(F.transform("_w", lambda x: F.when(F.array_contains("_slug", x), "*").otherwise(x)), " "))
+    g = stage(graded(segments(merged)), "graded")
+    own = F.col("own") & (F.col("firm") == "error")
+    weight = F.create_map(*[F.lit(x) for kv in FIRM.items() for x in kv])[F.col("firm")] + own.cast("double") * OWN_TITLE
+    firm = g.where("firm is not null").where(weight >= ENOUGH).select("rec_id", "field", F.col("firm").alias("kind"))
+    dup = stage(_repeated(g), "repeated")
+    spread = F.log2("titles") * PER_TITLES + F.log2("hosts") * PER_HOSTS
+    # words addressed to a reader: with or without other titles
+    single = g.where("firm is null and loose and not own").join(dup.select("shape").distinct(), "shape", "left_anti")
+    reader = dup.where("loose and not own").select("rec_id", "field", "reader", "beside", spread.alias("_spread")).unionByName(
+        single.select("rec_id", "field", "reader", "beside", F.lit(0.0).alias("_spread"))
     )
-    firm = g.where("firm is not null").select("rec_id", "field", F.col("firm").alias("kind"))
-    loose = g.where("firm is null").select("rec_id", "field", "_shape", "host", F.xxhash64("title").alias("_t"), "reader", "beside",
-                                            F.size(F.array_intersect("_w", "_slug")).alias("_common"))
-    # under how many titles and hosts the same shape stands; an unknown host is none
-    seen = (
-        loose.select("_shape", "_t", "host").distinct().groupBy("_shape")
-        .agg(F.count_distinct("_t").alias("titles"), F.greatest(F.count_distinct("host"), F.lit(1)).alias("hosts"))
-    )
-    in_row = firm.select("rec_id", F.lit(True).alias("_firm")).distinct()
-    weight = (
-        F.col("reader").cast("double") * (READER_ONLY + F.col("beside").cast("double") * BESIDE_TEXT)
-        + F.col("_firm").isNotNull().cast("double") * BESIDE_FIRM
-        + F.log2("titles") * PER_TITLES
-        + F.when(F.col("titles") > 1, F.log2("hosts")).otherwise(0) * PER_HOSTS
-    )
-    dup = (
-        loose.where("_common = 0").join(seen, "_shape").join(in_row, "rec_id", "left")
-        .where(weight >= F.log2(F.lit(min_titles)) * PER_TITLES)
-        .select("rec_id", "field", F.lit("duplicate").alias("kind"))
-    )
-    order = F.create_map(*[F.lit(x) for i, k in enumerate(("placeholder", "filler", "notice", "error", "duplicate")) for x in (k, i)])
-    return firm.unionByName(dup).groupBy("rec_id", "field").agg(F.min_by("kind", order[F.col("kind")]).alias("kind"))
+    said = F.col("reader").cast("double") * (READER_ONLY + F.col("beside").cast("double") * BESIDE_TEXT)
+    in_row = firm.select("rec_id", F.lit(BESIDE_FIRM).alias("_firm")).distinct()
+    addressed = reader.join(in_row, "rec_id", "left").where(said + F.coalesce("_firm", F.lit(0.0)) + F.col("_spread") >= ENOUGH)
+    # responses no detector knows: closed vocabulary, nothing of the own title or body
+    least = F.when(F.col("field") == "desc", DESC_WORDS).otherwise(1)
+    alone = dup.where(~F.col("own") & (F.col("closed") >= CLOSED) & (F.col("hosts") > 1) & (spread >= ENOUGH_ALONE) & (F.col("size") >= least))
+    body = g.select("rec_id", F.col("shape").alias("_other"), F.col("terms").alias("_body"))
+    known = alone.join(body, "rec_id").where((F.col("shape") != F.col("_other")) & F.arrays_overlap("terms", "_body"))
+    unknown = alone.join(known.select("rec_id", "shape").distinct(), ["rec_id", "shape"], "left_anti")
+    kinds = [firm, *(d.select("rec_id", "field", F.lit("duplicate").alias("kind")) for d in (addressed, unknown))]
+    order = F.create_map(*[F.lit(x) for i, k in enumerate((*FIRM, "duplicate")) for x in (k, i)])
+    return reduce(DataFrame.unionByName, kinds).groupBy("rec_id", "field").agg(F.min_by("kind", order[F.col("kind")]).alias("kind"))
 
 
 def without_residue(merged: DataFrame, found: DataFrame) -> DataFrame:
