@@ -98,8 +98,8 @@ def test_unknown_responses_are_found_by_evidence(spark):
     n = len(rows)
     # genuine: the same short descriptions and sentences of a kind under many titles
     for i in range(n, n + 120):
-        rows.append((i, f"Dorf{i}", None, ("species of bat", "asteroid", "library for trade maps", "library of music maps")[i % 4],
-                     [["It is a species of bat .", f"The library of Dorf{i} has maps for trade and music .", f"The asteroid was named in {1801 + i} ."]], "abcde"[i % 5]))
+        kind = ("species of bat", "asteroid", "library for trade maps", "library of music maps")[i % 4]
+        rows.append((i, f"Dorf{i}", None, kind, [[f"Dorf{i} is a {kind} .", "It is one of many , also called " + kind + " ."]], "abcde"[i % 5]))
     got = _found(spark, rows)
     planted = {(i, "desc" if i % 2 else "text") for i in range(n)}
     assert len(planted & got.keys()) / len(planted) >= 0.9
