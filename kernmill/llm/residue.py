@@ -113,6 +113,18 @@ LOOSE = (
     r"^\W*(?:error|reference|request id|code|status|warning)\b[\W\d]*$|^\W*(?:test|asdf|qwerty|blah|foo|bar)\b",
 )
 
+#: Every detector above needs one of these words or signs, so its pattern is tried only where one stands.  Nothing else depends on them.
+TRIGGER_WORDS = (
+    "text content description title name here placeholder untitled added written filled done announced paragraph описание "
+    "текст hier einfügen venir compléter ajouter aquí pendiente javascript script scripts cookie cookies js скрипты bad "
+    "unauthorised unauthorized forbidden found gone allowed time timeout conflict requests internal implemented unavailable "
+    "unknown http status code fehler erreur server seite página article file introuvable страница page denied permission "
+    "wrong request connection session gateway site service system warning notice upstream human robot traceback fatal parse uncaught "
+    "verify verifying you your we our us please sorry oops bitte veuillez désolé пожалуйста попробуйте try reload sign log "
+    "come check take click reference test asdf qwerty blah foo bar todo"
+).split()
+TRIGGER_SIGNS = r"[{}<>\[\]%$@_|]|#[A-Z{]|\bNaN\b|\b(?:TODO|FIXME|TBD|TBA)\b|X{3}|(?i:x{4}|undefined|\bnull\b|\bnone\b|\bnil\b)"
+
 #: Evidence.  A detector of a kind by itself; a term of the own title against an error; for words addressed to a reader: nothing
 #: else said, other segments in the row, firm residue in the row; each doubling of titles and of hosts.  The sum must reach ``ENOUGH``.
 FIRM = {"placeholder": 3.0, "filler": 2.5, "notice": 2.5, "error": 2.5}
@@ -136,7 +148,8 @@ def _words(text: Column) -> Column:
 
 
 def segments(merged: DataFrame) -> DataFrame:
-    """``rec_id, host, title, field, seg, beside``: each non-blank sentence of desc and text, and whether the row has others.
+    """``rec_id, host, title, _slug, field, seg, beside``: each non-blank sentence of desc and text, the title's terms and
+    whether the row has others.
 
     Null and blank fields, paragraphs and sentences have none.  Only the columns
     named are read.
@@ -151,8 +164,9 @@ def segments(merged: DataFrame) -> DataFrame:
     filled = F.filter(F.concat(desc, F.coalesce(sents, empty)), lambda x: F.trim(x["seg"]) != "")
     return (
         merged.select("rec_id", F.col("source").alias("host"), F.coalesce("title", "name").alias("title"), filled.alias("_all"))
-        .select("rec_id", "host", "title", (F.size(F.array_distinct("_all.seg")) > 1).alias("beside"), F.explode("_all").alias("x"))
-        .select("rec_id", "host", "title", "x.field", "x.seg", "beside")
+        .withColumn("_slug", _slug())
+        .select("rec_id", "host", "title", "_slug", (F.size(F.array_distinct("_all.seg")) > 1).alias("beside"), F.explode("_all").alias("x"))
+        .select("rec_id", "host", "title", "_slug", "x.field", "x.seg", "beside")
     )
 
 
@@ -169,27 +183,32 @@ def graded(segs: DataFrame) -> DataFrame:
     distinct content words), ``size`` (their number).
     """
     s, w = F.col("seg"), F.col("_w")
+    known = [*TRIGGER_WORDS, *FILLER_LATIN]
+    repeats = (F.size(w) >= 2) & (F.element_at(w, 1) == F.element_at(w, -1))
+    called = repeats | F.exists(w, lambda x: x.isin(known) | x.endswith("error") | x.endswith("exception")) | s.rlike(TRIGGER_SIGNS)
     latin = F.size(F.filter(w, lambda x: x.isin(FILLER_LATIN)))
     all_latin = (latin >= 3) & (latin * 2 >= F.size(w))
     # one word over and over: three times, or twice in lower case
     same = (F.size(F.array_distinct(w)) == 1) & ((F.size(w) >= 3) | ((F.size(w) == 2) & ~s.rlike(r"\p{Lu}")))
     firm = (
-        F.when(_any(s, PLACEHOLDERS), "placeholder")
+        F.when(~F.col("_called"), None)
+        .when(_any(s, PLACEHOLDERS), "placeholder")
         .when(all_latin | same | _any(s, FILLERS, "(?iU)"), "filler")
         .when(_any(s, NOTICES, "(?iU)"), "notice")
         .when(_any(s, ADVICE, "(?iU)") & ~F.arrays_overlap(w, F.col("_slug")), "notice")
         .when(_any(s, ERRORS, "(?iU)") & ~s.rlike(r"(?i)\bshows? (?:an |the )?error"), "error")
     )
     terms = F.array_except(w, F.lit(FUNCTION_WORDS))
-    masked = F.transform(F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}+|\p{N}+"), F.lit(0)), lambda x: F.when(F.array_contains("_slug", x), "*").otherwise(x))
+    masked = F.transform(w, lambda x: F.when(F.array_contains("_slug", x), "*").otherwise(x))
+    numbers = F.regexp_replace(s, "[^0-9]+", " ")
     return (
         segs.withColumn("_w", _words(s))
-        .withColumn("_slug", _slug())
-        .withColumn("loose", _any(s, LOOSE, "(?iU)"))
+        .withColumn("_called", called)
+        .withColumn("loose", F.col("_called") & _any(s, LOOSE, "(?iU)"))
         .select(
             "rec_id", "field", "host", F.xxhash64("title").alias("title"), "beside", firm.alias("firm"), "loose",
-            ((_any(s, LOOSE[:2], "(?iU)") | s.rlike(r"\d")) & (F.size(F.array_except(w, F.lit([*READER_WORDS, *FUNCTION_WORDS]))) == 0)).alias("reader"),
-            F.xxhash64(F.array_join(masked, " ")).alias("shape"), (F.size(F.array_intersect(w, F.col("_slug"))) > 0).alias("own"),
+            (F.col("loose") & (F.size(F.array_except(w, F.lit([*READER_WORDS, *FUNCTION_WORDS]))) == 0) & (_any(s, LOOSE[:2], "(?iU)") | s.rlike(r"\d"))).alias("reader"),
+            F.xxhash64(F.array_join(masked, " "), numbers).alias("shape"), (F.size(F.array_intersect(w, F.col("_slug"))) > 0).alias("own"),
             terms.alias("terms"),
             # scripts without blanks: three letters pass for a word
             (F.size(terms) + F.length(F.regexp_replace(s, UNSPACED, "")) / 3).cast("int").alias("size"),
