@@ -105,11 +105,8 @@ def p9_found(spark, sf):
 
 
 def p9_sentences(spark, sf):
-    docs = _read(spark, sf, "documents").select("doc_id", "text")
-    return p9_found(spark, sf).join(docs, "doc_id").select(
-        "doc_id", "char_start",
-        F.substring("text", F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int")).alias("sentence"),
-    )
+    docs = _read(spark, sf, "documents")
+    return sentences.split_documents(docs, sentences.train(docs), with_text=True).drop("char_end")
 
 
 QUERIES = {
