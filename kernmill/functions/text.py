@@ -100,9 +100,10 @@ def decode_escapes(text: Column) -> Column:
         both = F.concat(F.lit("\\u"), F.lower(F.hex(high)), F.lit("\\u"), F.lower(F.hex(low)))
         return F.when(i % 2 == 1, F.when(code < 0, bmp).otherwise(both)).otherwise(p)
 
+    # most literals hold no escape and are passed on untouched
     raw = F.array_join(F.transform(pieces, pair), "")
     doc = F.concat(F.lit('{"v":"'), F.regexp_replace(F.regexp_replace(raw, r'(?<!\\)"', r'\\"'), r"[\x00-\x1f]", " "), F.lit('"}'))
-    return F.coalesce(F.from_json(doc, "v string")["v"], text)
+    return F.when(text.contains("\\"), F.coalesce(F.from_json(doc, "v string")["v"], text)).otherwise(text)
 
 
 def spread(seed: str, *cols: Column) -> Column:

@@ -77,10 +77,11 @@ _LINK = regex.compile(r"\[\[([^\[\]|]+)\|([^\[\]|]+)\]\]")
 
 def repair_links(text: str) -> str:
     """Bracket repair, in this order: a link in a label with too many brackets, links without label, a link inside a
-    label, letters glued to the right drawn into the label, letters glued to the left set apart."""
-    text = regex.sub(r"\|([^\[\]]*)\[\[([^\[\]]+)\]\]\]\]", r"|\1\2]]", text)
+    label, letters glued to the right drawn into the label, letters glued to the left set apart.  Words of a label and of
+    a link inside it stay words of their own."""
+    text = regex.sub(r"\|([^\[\]]*)\[\[([^\[\]]+)\]\]\]\]", r"|\1 \2]]", text)
     text = regex.sub(r"\[\[[^\[\]|]+\|\]\]", "", text)
-    text = regex.sub(r"\|([^\[\]]*)\[\[[^\[\]|]+\|([^\[\]]+)\]\]([^\[\]]*)\]\]", r"|\1\2\3]]", text)
+    text = regex.sub(r"\|([^\[\]]*)\[\[[^\[\]|]+\|([^\[\]]+)\]\]([^\[\]]*)\]\]", r"|\1 \2 \3]]", text)
     text = regex.sub(r"(\|[^\[\]]+?)\s*\]\]([^\s.,\-(){}\[\]]+)", r"\1\2]]", text)
     return regex.sub(r"(\S)(\[\[)", r"\1 \2", text)
 

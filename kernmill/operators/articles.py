@@ -36,15 +36,16 @@ def _parsed(paragraphs: Column, first_sentences: int) -> Column:
 
 
 def build_articles(pages: DataFrame, titles: DataFrame, first_paragraphs: int = 0, first_sentences: int = 0) -> DataFrame:
-    """``qid, pid, title, text, link`` of pages (``id, title, text``) whose title has a qid in ``titles`` (``title, qid``).
+    """``rec_id, qid, pid, title, text, link`` of pages (``id, title, text``) whose title has a qid in ``titles`` (``title, qid``).
 
     Pages of a title only are left out.  Link targets without a qid keep their words
     but give no link; of several links to the same target the last one stays, and of
-    several pages with the same qid the one with the largest id.  Sentences and links
+    several pages with the same qid the one with the largest id, which is its ``rec_id``.
+    A title with several qids has the smallest.  Sentences and links
     come from one narrow pass; popular targets are salted in the title lookup.
     """
     body = body_paragraphs(F.col("text"), first_paragraphs)
-    known = titles.where("title is not null and qid is not null").dropDuplicates(["title"])
+    known = titles.where("title is not null and qid is not null").groupBy("title").agg(F.min("qid").alias("qid"))
     art = (
         pages.select(F.col("id").alias("pid"), "title", X.title_key(F.col("title")).alias("_key"), body.alias("_body"))
         .where("_body is not null")
@@ -58,4 +59,4 @@ def build_articles(pages: DataFrame, titles: DataFrame, first_paragraphs: int =
     # one entry per target first, so that no map ever sees a key twice
     per_target = found.groupBy("qid", "target").agg(F.max_by(place, "i").alias("p"))
     maps = per_target.groupBy("qid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("target", "p")))).alias("link"))
-    return last.join(maps, "qid", "left").select("qid", "pid", "title", F.col("p.text").alias("text"), "link")
+    return last.join(maps, "qid", "left").select(F.col("pid").cast("long").alias("rec_id"), "qid", "pid", "title", F.col("p.text").alias("text"), "link")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kernmill.functions import text as X
 from kernmill.operators.entities import last_values
 from kernmill.operators.skew import number_rows
+from kernmill.session import stage
 
 
 def title_map(page: DataFrame, usage: DataFrame) -> DataFrame:
@@ -44,11 +47,15 @@ def titles_by_id(titles: DataFrame, order: str) -> DataFrame:
     return titles.where("qid is not null").groupBy("qid").agg(F.max_by("title", order).alias("title"))
 
 
+#: Fixed value: the template that opens a disambiguation page.
+DISAMBIGUATION = r"(?m)^\{\{disambig(uation)?(\|[^}]*)?\}\}"
+
+
 def is_content_page(ns: Column, text: Column, skip_disambiguation: bool = True) -> Column:
     """Main namespace and, if asked, no line that starts with a disambiguation template."""
     ok = ns == "0"
     if skip_disambiguation:
-        ok = ok & ~F.coalesce(text, F.lit("")).rlike(r"(?m)^\{\{disambig(uation)?(\|[^}]*)?\}\}")
+        ok = ok & ~F.coalesce(text, F.lit("")).rlike(DISAMBIGUATION)
     return ok
 
 
@@ -87,7 +94,7 @@ def accepted_target(target: Column, prefixes: tuple[str, ...] = ("w", "wiktionar
 
 def last_articles(merged: DataFrame, order: str = "rec_id") -> DataFrame:
     """One article per qid, the last extraction; rows without qid are left out."""
-    return last_values(merged, "qid", order, ["title", "pid", "text", "link"])
+    return last_values(merged, "qid", order, [*([order] if order == "rec_id" else []), "title", "pid", "text", "link"])
 
 
 def link_rows(articles: DataFrame) -> DataFrame:
@@ -148,32 +155,69 @@ def both_ways(triples: DataFrame) -> DataFrame:
     return t.select("pos", "subj", "rel", "obj", F.inline(ends))
 
 
+def triple_lists(rows: DataFrame, part_size: int = 1000) -> DataFrame:
+    """``qid, part, triples`` of ``link_triples`` rows in file order, long lists cut into parts."""
+    numbered = number_rows(rows, ["qid"], ["pos", "subj", "rel", "obj"])
+    entry = F.struct("_rank", F.struct("subj", "rel", "obj").alias("t"))
+    return (
+        numbered.withColumn("part", F.floor(F.col("_rank") / part_size).cast("int"))
+        .groupBy("qid", "part")
+        .agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["t"]).alias("triples"))
+    )
+
+
 def merge_entities(
     merged: DataFrame, items: DataFrame, triples: DataFrame | None = None, merge_desc: bool = True, merge_aka: bool = True,
-    merge_contexts: bool = True,
+    merge_contexts: bool = True, part_size: int = 1000,
 ) -> DataFrame:
-    """Articles with item name, aliases and description and the number of their contexts and triples.
-
-    name and aka stay null without an item, desc becomes ''.  Context lists come from
-    ``context_lists``; here only their size and first sentence are carried, so that
-    no hub needs a row of unbounded size.
+    """Merged entities: articles with item name, aliases, description, contexts and, with ``triples``, triples.
+
+    name and aka stay null without an item, desc becomes ''.  Columns ``rec_id, qid,
+    part, title, pid, name[, desc][, aka], text, link[, contexts, n_contexts][,
+    triples, n_triples]``.  An entity with at most ``part_size`` contexts and triples is
+    one row (part 0).  The lists of larger ones go on in rows of their own with the same
+    ids, title, name and desc but null text and link, so no row grows with a hub.
+    Where the article or item carries its own list columns they are not read.  Items
+    may be one row per qid or, with ``row_id``, several, of which the last counts.
     """
-    art = last_articles(merged)
-    item = last_values(items, "qid", "row_id", ["name", "desc", "aka"])
-    out = art.join(item, "qid", "left").withColumn("desc", F.coalesce("desc", F.lit("")))
-    if not merge_desc:
-        out = out.drop("desc")
-    if not merge_aka:
-        out = out.drop("aka")
+    art = stage(last_articles(merged), "articles")
+    item = last_values(items, "qid", "row_id" if "row_id" in items.columns else "qid", ["name", "desc", "aka"])
+    kept = ["name", *(["desc"] if merge_desc else []), *(["aka"] if merge_aka else [])]
+    out = art.join(item.select("qid", *kept), "qid", "left")
+    if merge_desc:
+        out = out.withColumn("desc", F.coalesce("desc", F.lit("")))
+    out = out.withColumn("part", F.lit(0))
+    lists = []
     if merge_contexts:
-        per = contexts(art).groupBy(F.col("target").alias("qid")).agg(
-            F.count(F.lit(1)).alias("n_contexts"), F.min("sentence").alias("first_context")
-        )
-        out = out.join(per, "qid", "left").withColumn("n_contexts", F.coalesce("n_contexts", F.lit(0)))
+        own = contexts(art)
+        lists.append(("contexts", context_lists(own, part_size).withColumnRenamed("target", "qid"), "array<struct<sentence:string,span:struct<begin:int,end:int>>>"))
     if triples is not None:
-        n = link_triples(art, triples).groupBy("qid").agg(F.count(F.lit(1)).alias("n_triples"))
-        out = out.join(n, "qid", "left").withColumn("n_triples", F.coalesce("n_triples", F.lit(0)))
-    return out
+        lists.append(("triples", triple_lists(link_triples(art, triples), part_size), "array<struct<subj:string,rel:string,obj:string>>"))
+    if not lists:
+        return out.select("rec_id", "qid", "part", "title", "pid", *kept, "text", "link")
+    lists = [(n, stage(d.join(art.select("qid"), "qid", "left_semi"), n), t) for n, d, t in lists]
+    # what is beyond the first part of any list has a row of its own
+    more = reduce(DataFrame.unionByName, [d.where("part > 0").select("qid", "part") for _, d, _ in lists]).distinct()
+    blank = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("text", "link")]
+    rest = more.join(out.drop("part", "text", "link"), "qid").select(*[F.col(c) for c in out.columns if c not in ("text", "link")], *blank)
+    out = out.unionByName(rest)
+    for name, d, kind in lists:
+        sizes = d.groupBy("qid").agg(F.sum(F.size(name)).alias(f"n_{name}"))
+        out = out.join(d, ["qid", "part"], "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+        out = out.join(sizes, "qid", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long")))
+    return out.select("rec_id", "qid", "part", "title", "pid", *kept, "text", "link", *[c for n, _, _ in lists for c in (n, f"n_{n}")])
+
+
+def merge_statistics(merged: DataFrame) -> DataFrame:
+    """One row over merged entities (parts of a long one count once): entities, non-blank descriptions, sentences and contexts in all and on average."""
+    sents = F.aggregate(
+        F.coalesce("text", F.array().cast("array<array<string>>")), F.lit(0).cast("long"), lambda a, p: a + F.greatest(F.coalesce(F.size(p), F.lit(0)), F.lit(0))
+    )
+    return merged.where("part = 0").select("desc", sents.alias("_s"), "n_contexts").agg(
+        F.count(F.lit(1)).alias("entities"), F.sum((F.trim("desc") != "").cast("int")).alias("with_desc"),
+        F.sum("_s").alias("sentences"), F.avg("_s").alias("mean_sentences"),
+        F.sum("n_contexts").alias("contexts"), F.avg("n_contexts").alias("mean_contexts"),
+    )
 
 
 def corpus_counts(articles: DataFrame) -> DataFrame:

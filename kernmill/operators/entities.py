@@ -38,12 +38,14 @@ def literals(parsed: DataFrame, lang: str = "en", strict_lang: bool = False) ->
     """``pos, qid, field, value`` of name, description and alias lines that are no edges."""
     rel = F.col("rel")
     field = F.when(rel == X.NAME_REL, "name").when(rel == X.DESC_REL, "desc").when(rel == X.AKA_REL, "aka")
-    value = X.decode_escapes(X.squeeze(X.language_value(F.col("obj"), lang, strict_lang)))
+    # an escape stands for a character, so the raw text tells whether anything is left
+    raw = X.squeeze(X.language_value(F.col("obj"), lang, strict_lang))
     return (
         parsed.where("s <> '' and not (r <> '' and o <> '')")
         .where(rel.isin(X.NAME_REL, X.DESC_REL, X.AKA_REL))
-        .select("pos", F.col("s").alias("qid"), field.alias("field"), value.alias("value"))
-        .where(F.length("value") > 0)
+        .select("pos", F.col("s").alias("qid"), field.alias("field"), raw.alias("_raw"))
+        .where(F.length("_raw") > 0)
+        .select("pos", "qid", "field", X.decode_escapes(F.col("_raw")).alias("value"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kernmill.functions import text as X
 from kernmill.operators.corpus import both_ways, contexts
-from kernmill.operators.skew import running_total
+from kernmill.operators.skew import hot_counts, hot_keys, running_total, salted_lookup
 from kernmill.session import stage, unstage
 
 
@@ -17,26 +17,38 @@ def _valid(triples: DataFrame) -> DataFrame:
 
 def related_triples(articles: DataFrame, triples: DataFrame) -> DataFrame:
     """``qid, pos``: the triples in which an article is subject or object (a self-loop once)."""
-    ends = both_ways(triples).where("as_subject or qid <> target")
-    return ends.select("qid", "pos").join(articles.select("qid"), "qid")
+    ends = both_ways(triples).where("as_subject or qid <> target").select("qid", "pos")
+    # one object may hold a large part of all triples
+    return salted_lookup(ends, articles.select("qid"), "qid", F.col("pos"), hot_keys(ends, "qid")).select("qid", "pos")
 
 
 def mentioned_pairs(articles: DataFrame, triples: DataFrame) -> DataFrame:
     """``qid, subj, obj, related``: triple pairs an article mentions.
 
     Related: the article and one of its links, either way round.  Unrelated: two of
-    its links in the order of the link map, looked up in that orientation only.
-    Link maps are bounded by the article, and the lookup is an equi-join.
+    its links in the order of the link map, looked up in that orientation only.  A pair
+    of the triples meets the articles that link to the one of its ends with fewer such
+    articles, and those that link to the other end too stay; so no pair of links is ever
+    listed, and a hub is expanded only against a larger one.
     """
-    pairs = _valid(triples).select("subj", "obj").distinct()
-    keys = articles.select("qid", F.map_keys("link").alias("k"))
-    links = keys.select("qid", F.explode("k").alias("t"))
-    rel = links.select("qid", F.inline(F.array(
+    pairs = stage(_valid(triples).select("subj", "obj").distinct(), "pairs")
+    links = stage(articles.select("qid", F.posexplode(F.map_keys("link")).alias("i", "t")), "links")
+    ends = links.select("qid", "t").select("qid", F.inline(F.array(
         F.struct(F.col("qid").alias("subj"), F.col("t").alias("obj")), F.struct(F.col("t").alias("subj"), F.col("qid").alias("obj")))))
-    ranks = keys.select("qid", F.posexplode("k").alias("i", "subj"), "k")
-    unrel = ranks.select("qid", "subj", F.explode(F.slice("k", F.col("i") + 2, F.size("k"))).alias("obj"))
-    both = rel.withColumn("related", F.lit(True)).unionByName(unrel.withColumn("related", F.lit(False)))
-    return both.join(pairs, ["subj", "obj"], "left_semi").select("qid", "subj", "obj", "related")
+    rel = ends.join(pairs, ["subj", "obj"], "left_semi").select("qid", "subj", "obj", F.lit(True).alias("related"))
+    linked = stage(links.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "linked")
+    both = pairs
+    for end, n in (("subj", "n_s"), ("obj", "n_o")):
+        # an end nothing links to leaves no pair; one object may hold a large part of all triples
+        both = salted_lookup(both, linked.select(F.col("t").alias(end), F.col("n").alias(n)), end, F.xxhash64("subj", "obj"), hot_keys(pairs, end))
+    from_subj = F.col("n_s") <= F.col("n_o")
+    near = both.select("subj", "obj", F.when(from_subj, F.col("subj")).otherwise(F.col("obj")).alias("t"),
+                       F.when(from_subj, F.col("obj")).otherwise(F.col("subj")).alias("far"), from_subj.alias("_s"))
+    meets = salted_lookup(links, near, "t", F.col("qid"), hot_counts(linked, "t", "n", 50_000)).select("qid", "i", "far", "_s", "subj", "obj")
+    known = links.select("qid", F.col("t").alias("far"), F.col("i").alias("j"))
+    in_order = F.when(F.col("_s"), F.col("i") < F.col("j")).otherwise(F.col("j") < F.col("i"))
+    unrel = meets.join(known, ["qid", "far"]).where(in_order).select("qid", "subj", "obj", F.lit(False).alias("related"))
+    return rel.unionByName(unrel)
 
 
 def triple_coverage(articles: DataFrame, triples: DataFrame) -> DataFrame:
@@ -67,7 +79,8 @@ def title_triples(articles: DataFrame, triples: DataFrame, properties: DataFrame
     )
     both = spans.where("obj_surface is not null").join(both_ways(triples), ["qid", "target"])
     names = properties.select(F.col("qid").alias("rel"), F.col("name").alias("rel_name")).where("rel_name is not null")
-    return both.join(names, "rel").select("qid", "rel", "rel_name", "obj_surface", "as_subject")
+    # few relations hold most triples
+    return salted_lookup(both, names, "rel", F.xxhash64("qid", "target", "pos"), hot_keys(both, "rel")).select("qid", "rel", "rel_name", "obj_surface", "as_subject")
 
 
 def root_ancestors(edges: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """All queries outside the optional subpackage, by name."""
 
-from kernmill.plans import corpus, graph, markup, structure
+from kernmill.plans import corpus, graph, markup, stages, structure
 
 FLAGSHIP = "merged_entities"
 
-_MODULES = (graph, corpus, markup, structure)
+_MODULES = (graph, corpus, markup, stages, structure)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

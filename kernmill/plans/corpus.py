@@ -121,12 +121,20 @@ def link_triples(spark, sf):
     return C.link_triples(_articles(spark, sf), _read(spark, sf, "triples"))
 
 
+def _merged_entities(spark, sf):
+    return C.merge_entities(_read(spark, sf, "merged"), _read(spark, sf, "items"), _read(spark, sf, "triples"))
+
+
 def merged_entities(spark, sf):
-    """Articles with names, descriptions, contexts and triples: the flagship."""
-    out = C.merge_entities(_read(spark, sf, "merged"), _read(spark, sf, "items"), _read(spark, sf, "triples"))
-    return out.select(
-        "qid", "title", "pid", "name", "desc", F.array_join("aka", "|", "").alias("aka"), "n_contexts", "first_context",
-        "n_triples", F.coalesce(F.array_size(F.map_keys("link")), F.lit(0)).alias("n_links"),
+    """Articles with names, descriptions, contexts and triples: the flagship.  Lists are shown as text."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    context = lambda c: F.concat(c["sentence"], F.lit("@"), part(c["span"]["begin"]), F.lit("-"), part(c["span"]["end"]))
+    return _merged_entities(spark, sf).select(
+        "qid", "part", "rec_id", "title", "pid", "name", "desc", F.array_join("aka", "|", "").alias("aka"), "n_contexts",
+        F.array_join(F.transform("contexts", context), "|").alias("contexts"), "n_triples",
+        F.array_join(F.transform("triples", lambda t: F.concat_ws(" ", t["subj"], t["rel"], t["obj"])), "|").alias("triples"),
+        F.coalesce(F.array_size(F.map_keys("link")), F.lit(0)).alias("n_links"),
+        F.array_join(F.transform("text", lambda p: F.array_join(p, " ", "")), "|", "").alias("text"),
     )
 
 
@@ -135,11 +143,7 @@ def corpus_stats(spark, sf):
 
 
 def merge_stats(spark, sf):
-    m = merged_entities(spark, sf)
-    return m.agg(
-        F.count(F.lit(1)).alias("entities"), F.sum((F.trim("desc") != "").cast("int")).alias("with_desc"),
-        F.sum("n_contexts").alias("contexts"), F.avg("n_contexts").alias("mean_contexts"),
-    )
+    return C.merge_statistics(_merged_entities(spark, sf))
 
 
 def _splits(spark, sf):
@@ -320,7 +324,7 @@ WITH page AS (
 
 _ART = """
 WITH art AS (
-  SELECT qid, title, pid, text, link FROM merged WHERE qid IS NOT NULL
+  SELECT qid, rec_id, title, pid, text, link FROM merged WHERE qid IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rec_id DESC) = 1
 ), lk AS (
   SELECT qid, title, text, e.key AS target, e.value AS p FROM (SELECT qid, title, text, unnest(map_entries(link)) AS e FROM art)
@@ -343,13 +347,22 @@ _MERGED = (
     + _LT
     + """
 , it AS (SELECT qid, name, "desc", aka FROM items WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY row_id DESC) = 1),
-nc AS (SELECT target AS qid, count(*) AS n, min(sentence) AS first_context FROM ctx WHERE sentence IS NOT NULL AND target <> qid GROUP BY target),
+cn AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY qid, sentence, "begin", "end") - 1 AS r FROM ctx WHERE sentence IS NOT NULL AND target <> qid),
+cl AS (SELECT target AS qid, (r // 1000)::INT AS part, string_agg(sentence || '@' || coalesce("begin"::VARCHAR, '') || '-' || coalesce("end"::VARCHAR, ''), '|' ORDER BY r) AS contexts
+  FROM cn GROUP BY ALL),
+nc AS (SELECT target AS qid, count(*) AS n FROM cn GROUP BY ALL),
+tn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, subj, rel, obj) - 1 AS r FROM lt),
+tl AS (SELECT qid, (r // 1000)::INT AS part, string_agg(subj || ' ' || rel || ' ' || obj, '|' ORDER BY r) AS triples FROM tn GROUP BY ALL),
 nt AS (SELECT qid, count(*) AS n FROM lt GROUP BY qid),
+pt AS (SELECT qid, 0 AS part FROM art UNION SELECT qid, part FROM cl UNION SELECT qid, part FROM tl),
 me AS (
-  SELECT a.qid, a.title, a.pid, it.name, coalesce(it."desc", '') AS "desc",
+  SELECT a.qid, p.part, a.rec_id, a.title, a.pid, it.name, coalesce(it."desc", '') AS "desc",
     CASE WHEN it.aka IS NOT NULL THEN coalesce(array_to_string(list_transform(it.aka, lambda x: coalesce(x, '')), '|'), '') END AS aka,
-    coalesce(nc.n, 0) AS n_contexts, nc.first_context, coalesce(nt.n, 0) AS n_triples, coalesce(cardinality(a.link), 0)::INT AS n_links
-  FROM art a LEFT JOIN it ON a.qid = it.qid LEFT JOIN nc ON a.qid = nc.qid LEFT JOIN nt ON a.qid = nt.qid
+    coalesce(nc.n, 0) AS n_contexts, coalesce(cl.contexts, '') AS contexts, coalesce(nt.n, 0) AS n_triples, coalesce(tl.triples, '') AS triples,
+    CASE WHEN p.part = 0 THEN coalesce(cardinality(a.link), 0)::INT ELSE 0 END AS n_links,
+    CASE WHEN p.part = 0 THEN array_to_string(list_transform(a.text, lambda q: coalesce(array_to_string(list_transform(q, lambda x: coalesce(x, '')), ' '), '')), '|') END AS text
+  FROM pt p JOIN art a ON p.qid = a.qid LEFT JOIN it ON a.qid = it.qid LEFT JOIN nc ON a.qid = nc.qid LEFT JOIN nt ON a.qid = nt.qid
+    LEFT JOIN cl ON a.qid = cl.qid AND p.part = cl.part LEFT JOIN tl ON a.qid = tl.qid AND p.part = tl.part
 )
 """
 )
@@ -457,7 +470,10 @@ SELECT target, (r // 1000)::INT AS part, count(*) AS n, string_agg(sentence, '|'
     + """SELECT count(*) AS articles, sum(coalesce(len(text), 0))::BIGINT AS paragraphs,
   sum(coalesce(list_sum(list_transform(text, lambda p: coalesce(len(p), 0))), 0))::BIGINT AS sentences, sum(coalesce(cardinality(link), 0))::BIGINT AS links FROM art""",
     "merge_stats": _MERGED
-    + """SELECT count(*) AS entities, sum((trim("desc") <> '')::INT)::BIGINT AS with_desc, sum(n_contexts)::BIGINT AS contexts, avg(n_contexts) AS mean_contexts FROM me""",
+    + """, sn AS (SELECT qid, list_sum(list_transform(text, lambda p: coalesce(len(p), 0))) AS n FROM art)
+SELECT count(*) AS entities, sum((trim("desc") <> '')::INT)::BIGINT AS with_desc, coalesce(sum(sn.n), 0)::BIGINT AS sentences,
+  coalesce(sum(sn.n), 0) / count(*) AS mean_sentences, sum(n_contexts)::BIGINT AS contexts, avg(n_contexts) AS mean_contexts
+FROM me LEFT JOIN sn ON me.qid = sn.qid WHERE part = 0""",
     "desc_stats": _SPLITS
     + """SELECT split, count(*) AS entities, coalesce(sum((trim("desc") <> '')::INT), 0)::BIGINT AS with_desc,
   sum(coalesce(len(contexts), 0))::BIGINT AS contexts, avg(coalesce(len(contexts), 0)) AS mean_contexts FROM sp GROUP BY split""",

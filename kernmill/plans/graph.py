@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kernmill.functions import text as X
 from kernmill.operators import entities as E
+from kernmill.operators.skew import number_rows
+from kernmill.session import new_path
+from kernmill.sources import readers
 
 BASE = "http://kg.example.org/"
 
@@ -105,8 +109,49 @@ def degrees(spark, sf):
     return E.degrees(_triples(spark, sf))
 
 
+def _in_files(df: DataFrame, order: str, write, name: str, files: int = 5) -> str:
+    """Write ``df`` as ``files`` files whose names follow ``order``; the middle ones are the largest."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    share = (F.col(order) - F.lit(ends["a"])) / F.lit(max(1, (ends["b"] or 0) - (ends["a"] or 0)))
+    cut = F.least(F.floor(F.sqrt(share) * files), F.lit(files - 1))
+    placed = df.withColumn("_file", cut).repartition(files, "_file").sortWithinPartitions("_file", order)
+    write(placed, path)
+    return path
+
+
+def _json_folders(df: DataFrame, path: str) -> None:
+    df.write.partitionBy("_file").json(path)
+
+
 def row_cap(spark, sf):
-    return _triples(spark, sf).orderBy("pos").limit(500)
+    """The first 500 triples of several files, through the reader's cap."""
+    path = _in_files(_triples(spark, sf).withColumnRenamed("pos", "n"), "n", _json_folders, "capped")
+    schema = T.StructType.fromDDL("n bigint, subj string, rel string, obj string")
+    return readers.read_jsonlines(spark, f"{path}/*", schema, 500).select(F.col("n").alias("pos"), "subj", "rel", "obj")
+
+
+def file_last_wins(spark, sf):
+    """The last record of each id over several files, whatever their sizes."""
+    path = _in_files(_read(spark, sf, "items").select("row_id", "qid", "name", "desc"), "row_id", _json_folders, "last")
+    rows = readers.read_jsonlines(spark, f"{path}/*", T.StructType.fromDDL("qid string, row_id bigint, name string, `desc` string"))
+    return readers.last_by_id(rows.where("qid is not null"))
+
+
+def nt_file_edges(spark, sf):
+    """Edges of N-Triples files, numbered by their place in the files."""
+    path = _in_files(_edge_lines(spark, sf), "pos", lambda d, p: d.select("_file", "value").write.partitionBy("_file").text(p), "nt")
+    found = E.edges(E.parse_ntriples(readers.read_ntriples(spark, f"{path}/*")))
+    return number_rows(found, [], ["pos"]).select(F.col("_rank").alias("place"), "subj", "rel", "obj")
+
+
+def subprop_file(spark, sf):
+    """Property edges of a white-space separated file."""
+    path = new_path(spark, "subprops")
+    word = lambda c: F.coalesce(F.regexp_replace(c, r"\s+", "_"), F.lit("-"))
+    d = _read(spark, sf, "subprops").select(F.concat_ws(" ", *[word(F.col(c)) for c in ("s", "rel", "o")]).alias("value"))
+    d.write.text(path)
+    return readers.read_subproperties(spark, path)
 
 
 def _subgraph(spark, sf):
@@ -148,7 +193,7 @@ def subprop_edges(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     nt_parse_edges, nt_parse_values, nt_strict_language, desc_preprocess, triple_freq, top_items, top_props, entity_assemble,
-    complete_entities, complete_named, dict_last_wins, last_present, relations_by_pair, degrees, row_cap, subgraph, subgraph_items,
+    complete_entities, complete_named, dict_last_wins, last_present, relations_by_pair, degrees, row_cap, file_last_wins, nt_file_edges, subprop_file, subgraph, subgraph_items,
     subgraph_props, unused_entities, shared_ids, subprop_edges,
 )}
 
@@ -199,6 +244,10 @@ kept AS (SELECT * FROM edge WHERE subj IN (SELECT qid FROM it) AND obj IN (SELEC
 )
 
 ORACLE = {
+    "file_last_wins": 'SELECT qid, row_id, name, "desc" FROM items WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY row_id DESC) = 1',
+    "nt_file_edges": """SELECT row_number() OVER (ORDER BY pos) - 1 AS place, subj, rel, obj FROM triples
+WHERE regexp_matches(subj, '^[PQ][0-9]') AND regexp_matches(rel, '^[PQ][0-9]') AND regexp_matches(obj, '^[PQ][0-9]')""",
+    "subprop_file": "SELECT s AS child, o AS parent FROM subprops WHERE starts_with(s, 'P') AND starts_with(o, 'P')",
     "nt_parse_edges": """SELECT pos, regexp_extract(subj, '^[PQ][0-9]+') AS subj, regexp_extract(rel, '^[PQ][0-9]+') AS rel,
   regexp_extract(obj, '^[PQ][0-9]+') AS obj FROM triples WHERE subj IS NOT NULL AND rel IS NOT NULL AND obj IS NOT NULL""",
     "nt_parse_values": _FREQ + _LIT + "SELECT pos, qid, field, value FROM lit",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from kernmill.operators.articles import build_articles
 from kernmill.operators.entities import last_values
 from kernmill.plans import pipeline
 from kernmill.plans.corpus import _wiki_tables
-from kernmill.session import read_spread, shared_dir
+from kernmill.session import new_path, read_spread
 from kernmill.sources import readers, writers
 from kernmill.streaming import triples as stream
 from kernmill.wikitext import extract, markup
@@ -37,7 +35,7 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 def _templates(spark: SparkSession) -> str:
@@ -160,15 +158,21 @@ def xml_pages(spark, sf):
 
 
 def stream_triple_freq(spark, sf):
-    """Triple counts per day, computed by the stream over all files there are (an extension)."""
-    path, state = _folder(spark, "stream"), _folder(spark, "stream-state")
+    """Triple counts per day, computed by the stream over a feed of files (an extension).
+
+    Update mode: a window's last count replaces earlier ones.  The lateness allowed is
+    longer than the feed, so that no row of it is dropped and the result can be compared.
+    """
+    feed, path, state = (new_path(spark, n) for n in ("feed", "stream", "stream-state"))
+    _read(spark, sf, "triples").select("pos", "subj", "rel", "obj", "seen_at").write.parquet(feed)
     q = (
-        stream.windowed_frequency(stream.read_feed(spark, f"{sf}/triples.parque[t]"))
-        .writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", state)
-        .foreachBatch(lambda d, _: d.write.mode("overwrite").parquet(path)).start()
+        stream.windowed_frequency(stream.read_feed(spark, feed), late="36500 days")
+        .writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", state)
+        .foreachBatch(lambda d, n: d.withColumn("batch", F.lit(n)).write.mode("append").parquet(path)).start()
     )
     q.awaitTermination()
-    return spark.read.schema("start timestamp, qid string, freq bigint").parquet(path)
+    counts = spark.read.schema("start timestamp, qid string, freq bigint, batch bigint").parquet(path)
+    return counts.groupBy("start", "qid").agg(F.max_by("freq", "batch").alias("freq"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -65,6 +65,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A full address in the shared folder that nothing uses yet; ``release_staged`` deletes what comes to lie there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    _staged.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder, read it back.
 
@@ -72,10 +80,9 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     sizes.  ``unstage`` removes it once a later stage has replaced it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     schema = df.schema
     df.write.parquet(path)
-    _staged.append(path)
     out = spark.read.schema(schema).parquet(path)
     out._kernmill_path = path
     return out

@@ -1,7 +1,8 @@
 """Readers of dumps and of the engine's own files.
 
-Every line reader adds ``pos``, a number that rises with file, block and line, so
-that "last wins" has a meaning; it is unique but not dense.
+Every line reader adds ``pos``, a struct that rises with file path, block in the file
+and line in the block, so that "last wins" and row caps follow the files however Spark
+packs their splits.  It serves as an order only.
 """
 
 from __future__ import annotations
@@ -11,21 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kernmill import schemas
+from kernmill.operators.skew import number_rows
 
 
 def order_key() -> Column:
-    """Order of lines in files: path, block, then place in the partition."""
-    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    """Order of lines in files: path, block, then place among the rows of the task that reads the block."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    )
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``pos, value``; gzip and bzip2 files are read as they are."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), "value")
+    return spark.read.text(path).select(order_key().alias("pos"), "value")
 
 
 def capped(lines: DataFrame, max_rows: int) -> DataFrame:
-    """The first ``max_rows`` rows in file order; 0 keeps all."""
-    return lines.orderBy("pos").limit(max_rows) if max_rows else lines
+    """The first ``max_rows`` rows in file order, exactly; 0 keeps all.
+
+    Rows are numbered by range partition and prefix sums, so a large cap is no
+    single task either.
+    """
+    if not max_rows:
+        return lines
+    return number_rows(lines, [], ["pos"]).where(F.col("_rank") < max_rows).drop("_rank")
 
 
 def read_ntriples(spark: SparkSession, path: str | list[str], max_rows: int = 0) -> DataFrame:
@@ -35,8 +45,8 @@ def read_ntriples(spark: SparkSession, path: str | list[str], max_rows: int = 0)
 
 def read_jsonlines(spark: SparkSession, path: str | list[str], schema: T.StructType, max_rows: int = 0) -> DataFrame:
     """JSON lines under an explicit schema, with ``pos``; absent fields are null."""
-    d = spark.read.schema(schema).json(path).withColumn("pos", F.monotonically_increasing_id())
-    return capped(d, max_rows)
+    d = spark.read.schema(schema).json(path)
+    return capped(d.select(*d.columns, order_key().alias("pos")), max_rows)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -107,6 +117,16 @@ def read_table(spark: SparkSession, url: str, table: str, columns: list[str], **
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*columns)
 
 
-def read_extracted(spark: SparkSession, folder: str) -> DataFrame:
-    """Extracted pages of a folder tree (``*/wiki_*``)."""
-    return spark.read.schema(schemas.PAGE).json(f"{folder.rstrip('/')}/*/wiki_*")
+def read_extracted(spark: SparkSession, folders: str | list[str], max_files: int = 0) -> DataFrame:
+    """Extracted pages of folder trees (``*/wiki_*``); ``max_files`` keeps the first files by path, 0 all."""
+    globs = [f"{f.rstrip('/')}/*/wiki_*" for f in ([folders] if isinstance(folders, str) else folders)]
+    paths: list[str] = globs
+    if max_files:
+        jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
+        for g in globs:
+            p = jvm.org.apache.hadoop.fs.Path(g)
+            found += [str(x.getPath()) for x in (p.getFileSystem(conf).globStatus(p) or [])]
+        paths = sorted(found)[:max_files]
+        if not paths:
+            return spark.createDataFrame([], schemas.PAGE)
+    return spark.read.schema(schemas.PAGE).json(paths)

@@ -18,9 +18,11 @@ def read_feed(spark: SparkSession, folder: str, files_per_trigger: int = 100) ->
 
 
 def windowed_frequency(feed: DataFrame, window: str = "1 day", late: str = "30 days") -> DataFrame:
-    """``start, qid, freq`` per window; state is bounded by the watermark.
+    """``start, qid, freq`` per window.
 
-    Rows with a null part or a null time are left out.
+    Written in ``append`` or ``update`` mode, state is bounded by the watermark and rows
+    later than ``late`` are dropped; ``complete`` mode keeps all windows and drops
+    none.  Rows with a null part or a null time are left out.
     """
     ends = [F.struct(F.col(c).alias("qid"), F.col(c).startswith("Q").cast("long").alias("n")) for c in ("subj", "obj")]
     rel = F.struct(F.col("rel").alias("qid"), F.lit(1).cast("long").alias("n"))

@@ -126,15 +126,45 @@ def title_case(title: str) -> str:
     return t[:1].upper() + t[1:]
 
 
+#: Names every wiki knows for its namespaces.
+CANONICAL = {
+    "Media": -2, "Special": -1, "Talk": 1, "User": 2, "User talk": 3, "Project": 4, "Project talk": 5, "File": 6, "File talk": 7, "Image": 6,
+    "MediaWiki": 8, "MediaWiki talk": 9, "Template": 10, "Template talk": 11, "Help": 12, "Help talk": 13, "Category": 14, "Category talk": 15,
+    "Module": 828, "Module talk": 829,
+}
+
+
+class Namespaces:
+    """Names of a wiki's namespaces: its own (name to key, from siteinfo) and those every wiki knows."""
+
+    def __init__(self, own: dict[str, int] | None = None):
+        own = {title_case(n): k for n, k in (own or {}).items() if n}
+        self.keys = {**CANONICAL, **own}
+        self.local = {**{k: n for n, k in reversed(CANONICAL.items())}, **{k: n for n, k in own.items()}}
+
+    def split(self, title: str) -> tuple[int, str]:
+        """Key and rest of a title; 0 and the whole where no known name stands before a colon."""
+        space, colon, rest = title.partition(":")
+        key = self.keys.get(title_case(space)) if colon else None
+        return (0, title) if key is None else (key, rest)
+
+    def full(self, head: str, default: int = 10) -> str:
+        """Full title of what a template call names: a colon before it means the main namespace."""
+        if head.startswith(":"):
+            return title_case(head[1:])
+        key, rest = self.split(head)
+        return f"{self.local[key or default]}:{title_case(rest)}"
+
+
 class Expander:
     """Expands one page's text.
 
     ``lookup`` gives the source of a template by full title or None; ``magic`` holds
-    the values of magic words; ``prefix`` is the name of the template namespace.
+    the values of magic words; ``spaces`` the names of the namespaces.
     """
 
-    def __init__(self, lookup: Callable[[str], str | None], magic: dict[str, str] | None = None, prefix: str = "Template"):
-        self.lookup, self.magic, self.prefix = lookup, magic or {}, prefix
+    def __init__(self, lookup: Callable[[str], str | None], magic: dict[str, str] | None = None, spaces: Namespaces | None = None):
+        self.lookup, self.magic, self.spaces = lookup, magic or {}, spaces or Namespaces()
         self.parsed: dict[str, tuple | None] = {}
 
     def expand(self, text: str) -> str:
@@ -191,25 +221,21 @@ class Expander:
             made = fn.call(key, first, [lambda p=p: self._nodes(p, params, depth) for p in rest])
             if made is not None:
                 return made
-        body = self._body(self._title(head))
+        body = self._body(self.spaces.full(head))
         if body is None:
             return ""
         return self._nodes(body, {"": "", **self._params(rest, params, depth)}, depth)
 
-    def _title(self, head: str) -> str:
-        """Full title: a leading colon means the main namespace, a known prefix is kept."""
-        if head.startswith(":"):
-            return title_case(head[1:])
-        space, colon, rest = head.partition(":")
-        if colon and title_case(space) in (self.prefix, "Template", "User", "Project"):
-            return f"{title_case(space)}:{title_case(rest)}"
-        return f"{self.prefix}:{title_case(head)}"
-
     def _body(self, title: str) -> tuple | None:
+        """Parsed source; redirects are followed however many there are, a circle of them leads nowhere."""
         if title not in self.parsed:
-            source, hops = self.lookup(title), 0
-            while source is not None and (to := redirect_target(source)) and hops < 5:
-                source, hops = self.lookup(title_case(to)), hops + 1
+            source, seen = self.lookup(title), {title}
+            while source is not None and (to := redirect_target(source)):
+                nxt = title_case(to)
+                key, rest = self.spaces.split(nxt)
+                nxt = self.spaces.full(nxt) if key else nxt
+                source = None if nxt in seen else self.lookup(nxt)
+                seen.add(nxt)
             self.parsed[title] = None if source is None else parse(transcluded(source))
         return self.parsed[title]
 
