@@ -64,16 +64,13 @@ def wikitext_documents(spark, sf):
     return extract.extract_pages(d, markup.Options(keep_links=False, keep_sections=True, keep_lists=True), "", _templates(spark))
 
 
-def wikitext_html(spark, sf):
-    return extract.extract_pages(_sources(spark, sf), markup.Options(to_html=True, keep_lists=True, keep_sections=True), "", _templates(spark))
-
-
 def doc_lines(spark, sf):
     return extract.as_document(wikitext_pages(spark, sf).withColumn("url", F.lit("")), as_json=False)
 
 
 def doc_json(spark, sf):
-    return extract.as_document(wikitext_pages(spark, sf)).select(F.get_json_object("value", "$.id").alias("id"), F.length("value").alias("n"))
+    pages = extract.as_document(wikitext_pages(spark, sf))
+    return pages.select(*[F.get_json_object("value", f"$.{c}").alias(c) for c in ("id", "title", "text")])
 
 
 def tokenize_sentences(spark, sf):
@@ -176,14 +173,18 @@ def stream_triple_freq(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    wikitext_pages, wikitext_documents, wikitext_html, doc_lines, doc_json, tokenize_sentences, tokenize_desc, link_paragraphs,
+    wikitext_pages, wikitext_documents, doc_lines, doc_json, tokenize_sentences, tokenize_desc, link_paragraphs,
     built_articles, desc_dataset, category_dataset, head_noun, json_roundtrip, keyed_json_roundtrip, tsv_roundtrip, title_map_roundtrip, xml_pages, stream_triple_freq,
 )}
 
-ORACLE = {
-    "wikitext_pages": """SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(title, 'Untitled') AS title,
+_PAGES = """SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(title, 'Untitled') AS title,
   coalesce(title, 'Untitled') || chr(10) || chr(10) || 'Village in north: [[' || coalesce(title, 'Untitled') || '|' || coalesce(title, 'Untitled') ||
-  ']] lies by [[river|the rivers]].' || chr(10) || chr(10) || 'It has 5two & "more" rows. ' || chr(10) || 'first/second/other; XIV, 3, x; nowhere; .' || chr(10) AS text FROM documents""",
+  ']] lies by [[river|the rivers]].' || chr(10) || chr(10) || 'It has 5two & "more" rows. ' || chr(10) || 'first/second/other; XIV, 3, x; nowhere; .' || chr(10) AS text FROM documents"""
+
+ORACLE = {
+    "wikitext_pages": _PAGES,
+    "doc_json": _PAGES,
+    "doc_lines": f"""SELECT '<doc id="' || id || '" url="" title="' || title || '">' || chr(10) || text || chr(10) || '</doc>' || chr(10) AS value FROM ({_PAGES})""",
     "desc_dataset": """WITH e AS (SELECT rec_id, len(list_filter(contexts, lambda x: x.sentence <> '' AND x.span."end" >= x.span."begin")) AS n_contexts FROM merged
   WHERE "desc" <> '' AND NOT contains(lower("desc"), 'wikipedia') AND NOT contains(lower("desc"), 'wikimedia')),
 r AS (SELECT *, row_number() OVER (ORDER BY md5('42' || rec_id), rec_id) AS r, floor(count(*) OVER () * 10 / 2 * 0.01) AS k FROM e WHERE n_contexts > 0)

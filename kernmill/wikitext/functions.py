@@ -271,8 +271,10 @@ MODULES: dict[str, dict[str, Callable[[dict], str]]] = {
 
 
 def invoke(module: str, function: str, params: dict[str, str]) -> str:
-    """Result of a module function; '' if it is unknown or fails."""
+    """Result of a module function; '' if it is unknown or fails.  The first letter of a module's name may be of either case."""
+    name = module.strip()
+    known = MODULES.get(name) or MODULES.get(name[:1].upper() + name[1:]) or MODULES.get(name[:1].lower() + name[1:])
     try:
-        return MODULES[module.strip()[:1].upper() + module.strip()[1:] if module.strip() not in MODULES else module.strip()][function.strip()](params)
+        return known[function.strip()](params)
     except Exception:  # noqa: BLE001
         return ""
