@@ -38,18 +38,24 @@ def tokenize(text: str | None) -> list[list[str]]:
             words += [m.group(1), m.group(2)]
         else:
             words.append(_TO_BRACKET.get(t, t))
-    out, cur = [], []
+    out, cur, quotes = [], [], 0
+
+    def closes(word: str) -> bool:
+        """Whether a word belongs to the sentence that has just ended; a straight quote does if one is open."""
+        return word in ("-RRB-", "-RSB-") or (quotes % 2 == 1 if word == '"' else word in _CLOSE)
+
     for i, w in enumerate(words):
         cur.append(w)
         nxt = words[i + 1] if i + 1 < len(words) else ""
-        if w in _END and not (nxt in _CLOSE or nxt in _END or nxt in ("-RRB-", "-RSB-")):
-            if w == "." and len(cur) > 1 and _ABBREVIATION.match(cur[-2]) and nxt:
-                continue
-            out.append(cur)
-            cur = []
-        elif (w in _CLOSE or w in ("-RRB-", "-RSB-")) and len(cur) > 1 and cur[-2] in _END and (not nxt or nxt[:1].isupper()):
+        done = False
+        if w in _END and not (nxt in _END or closes(nxt)):
+            done = not (w == "." and len(cur) > 1 and _ABBREVIATION.match(cur[-2]) and nxt)
+        elif len(cur) > 1 and cur[-2] in _END and closes(w):
+            done = not nxt or nxt[:1].isupper()
+        quotes += w == '"'
+        if done:
             out.append(cur)
-            cur = []
+            cur, quotes = [], 0
     if cur:
         out.append(cur)
     return out
