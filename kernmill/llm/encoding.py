@@ -184,55 +184,68 @@ def restore(text: str, chain: str, encoded: dict | None = None) -> str | None:
     return out if out != text and _plausible(out) else None
 
 
+def _buckets() -> np.ndarray:
+    """Bucket of every byte bigram; those of two ASCII bytes tell nothing and share one beyond the others."""
+    pair = np.arange(1 << 16, dtype=np.uint32)
+    hashed = ((pair * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(BUCKETS)
+    return np.where(pair & 0x8080 == 0, BUCKETS, hashed).astype(np.uint16)
+
+
+_BUCKET = _buckets()
+
+
+def _framed(text: str) -> bytes:
+    return b"\x02" + text.encode("utf-8", "surrogatepass") + b"\x03"
+
+
+def _hashed(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, dtype=np.uint8)
+    return _BUCKET[(b[:-1].astype(np.uint16) << 8) | b[1:]]
+
+
 def _features(text: str) -> np.ndarray:
-    b = np.frombuffer(("\x02" + text + "\x03").encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
-    pair = (b[:-1] << np.uint32(8)) | b[1:]
-    pair = pair[(b[:-1] > 127) | (b[1:] > 127)]
-    return ((pair * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(BUCKETS)
+    f = _hashed(_framed(text))
+    return f[f != BUCKETS]
 
 
 @dataclass
 class Model:
-    """Log probabilities: (class, bucket)."""
+    """Log probabilities: (bucket, class)."""
 
     weights: np.ndarray
 
-    def odds(self, text: str) -> np.ndarray:
-        """Log odds of each class against clean, from the byte bigrams alone."""
-        s = self.weights[:, _features(text)].sum(axis=1)
-        return s - s[0]
-
-    def loss(self, text: str) -> float:
-        """Log odds of damage with losses against clean, also as clean as the text would be in small letters."""
-        return float(self.weights[-1, _features(text)].sum()) - max(self.clean(text), self.clean(text.lower()))
+    def scores(self, text: str) -> np.ndarray:
+        """Log probability of a text under each class, from the byte bigrams alone."""
+        return self.weights[_features(text)].sum(axis=0)
 
     def clean(self, text: str) -> float:
         """Log probability of a text under the clean class."""
-        return float(self.weights[0, _features(text)].sum())
+        return float(self.weights[_features(text), 0].sum())
 
     def ease(self, text: str) -> float:
         """Mean log probability of a bigram under the clean class; 0 for plain ASCII."""
         f = _features(text)
-        return float(self.weights[0, f].mean()) if len(f) else 0.0
+        return float(self.weights[f, 0].sum()) / len(f) if len(f) else 0.0
+
+
+def _counted(texts: list[tuple[int, str]], kept: np.ndarray) -> np.ndarray:
+    """Bigram counts of (place, text) whose place is kept."""
+    own = [_framed(t) for i, t in texts if kept[i]]
+    return np.bincount(_hashed(b"".join(own)), minlength=BUCKETS + 1)[:BUCKETS] if own else np.zeros(BUCKETS)
 
 
 def fit(values: list[str]) -> Model:
     """Fit on values most of which are clean; two rounds, the second without what the first finds garbled."""
     values = sorted({v for v in values if v and not v.isascii()})
     pool = [v for v in values if not _LOST.search(v) and not any(restore(v, c) for c in UTF8_CHAINS)]
-    seen: list[list] = [[(i, _features(v)) for i, v in enumerate(pool)]]
-    for c in CHAINS:
-        seen.append([(i, _features(g)) for i, v in enumerate(pool) if (g := garble(v, c)) is not None])
-    single = [c for c, steps in CHAINS.items() if c in WESTERN and len(steps) == 1]
-    seen.append([(i, _features(t)) for i, v in enumerate(pool) for c in single if (g := garble(v, c)) and (t := truncate(g))])
-    kept = set(range(len(pool)))
+    seen = [list(enumerate(pool)), *([(i, g) for i, v in enumerate(pool) if (g := garble(v, c)) is not None] for c in CHAINS)]
+    single = [k for k, (c, steps) in enumerate(CHAINS.items(), 1) if c in WESTERN and len(steps) == 1]
+    seen.append([(i, t) for k in single for i, g in seen[k] if (t := truncate(g))])
+    kept = np.ones(len(pool), dtype=bool)
     for _ in range(2):
-        own = [[f for i, f in x if i in kept] for x in seen]
-        counts = np.stack([
-            0.05 + np.bincount(np.concatenate(x) if x else np.empty(0, np.int64), minlength=BUCKETS) for x in own
-        ])
-        model = Model(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
-        kept = {i for i in kept if judge(pool[i], model)[0] == CLEAN}
+        counts = np.stack([0.05 + _counted(x, kept) for x in seen], axis=1)
+        model = Model(np.log(counts / counts.sum(axis=0)).astype(np.float32))
+        kept &= np.array([judge(v, model)[0] == CLEAN for v in pool], dtype=bool)
     return model
 
 
@@ -285,13 +298,14 @@ def _reads(text: str, fixed: str, chain: str, gain: float, lost: int) -> bool:
     return gain > 0 or (chain in WESTERN and lost >= 2 and not _RARE.search(fixed))
 
 
-def _whole(text: str, model: Model, few: bool = False) -> tuple[str, str | None]:
+def _whole(text: str, model: Model, few: bool = False, scores: np.ndarray | None = None) -> tuple[str, str | None]:
     """Most likely chain that inverts all of a text, and the text restored.
 
     Only chains that the classifier prefers to clean are inverted; with ``few``, where
     few characters tell, legacy chains must be multi-byte and their odds better.
     """
-    odds = model.odds(text)
+    scores = model.scores(text) if scores is None else scores
+    odds = scores - scores[0]
     prior = _PRIOR_FEW if few else _PRIOR
     likely = np.flatnonzero(odds[1:-1] + prior > 0)
     if not len(likely):
@@ -419,7 +433,8 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
         return CLEAN, None
     beside = any(w.isascii() and w.isalpha() for w in text.split(" "))
     few = beside and sum(not ch.isascii() for ch in text) < FEW_SIGNS
-    chain, fixed = _whole(text, model, few)
+    scores = model.scores(text)
+    chain, fixed = _whole(text, model, few, scores)
     if chain == CLEAN:
         chain, fixed = _words(text, model)
     if chain != CLEAN:
@@ -427,7 +442,8 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
     if _LOST.search(text):
         return LOSSY, None
     chain, fixed = _runs(text, model)
-    if chain == CLEAN and model.loss(text) >= MIN_ODDS_LOSSY and _intact(text):
+    # losses must also be likelier than the text in small letters, as names in capitals are rare
+    if chain == CLEAN and scores[-1] - scores[0] >= MIN_ODDS_LOSSY and scores[-1] - model.clean(text.lower()) >= MIN_ODDS_LOSSY and _intact(text):
         return LOSSY, None
     return chain, fixed
 
