@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kernmill.functions import text as X
+from kernmill.operators.skew import running_total
 
 
 def parse_ntriples(lines: DataFrame, require_iri: bool = False) -> DataFrame:
@@ -115,6 +116,12 @@ def ranked(entities: DataFrame, n: int) -> DataFrame:
     return entities.orderBy(F.desc("freq"), "qid").limit(n)
 
 
+def by_frequency(entities: DataFrame) -> DataFrame:
+    """All entities with ``place``, zero-based, by falling frequency; ties by id.  Sorted by range partitions, not in one task."""
+    keyed = entities.withColumn("_f", -F.col("freq"))
+    return running_total(keyed, [], ["_f", "qid"], name="place").drop("_f")
+
+
 def relations_by_pair(triples: DataFrame) -> DataFrame:
     """``subj, obj, rels``: all relations of a pair in file order, and the last one."""
     return (

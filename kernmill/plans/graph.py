@@ -66,6 +66,10 @@ def triple_freq(spark, sf):
     return E.triple_frequency(_triples(spark, sf))
 
 
+def items_by_freq(spark, sf):
+    return E.by_frequency(triple_freq(spark, sf).where(~E.is_property()))
+
+
 def top_items(spark, sf):
     return E.ranked(triple_freq(spark, sf).where(~E.is_property()), 50)
 
@@ -192,7 +196,7 @@ def subprop_edges(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    nt_parse_edges, nt_parse_values, nt_strict_language, desc_preprocess, triple_freq, top_items, top_props, entity_assemble,
+    nt_parse_edges, nt_parse_values, nt_strict_language, desc_preprocess, triple_freq, items_by_freq, top_items, top_props, entity_assemble,
     complete_entities, complete_named, dict_last_wins, last_present, relations_by_pair, degrees, row_cap, file_last_wins, nt_file_edges, subprop_file, subgraph, subgraph_items,
     subgraph_props, unused_entities, shared_ids, subprop_edges,
 )}
@@ -244,6 +248,7 @@ kept AS (SELECT * FROM edge WHERE subj IN (SELECT qid FROM it) AND obj IN (SELEC
 )
 
 ORACLE = {
+    "items_by_freq": _FREQ + "SELECT row_number() OVER (ORDER BY freq DESC, qid) - 1 AS place, qid, freq FROM freq WHERE NOT starts_with(qid, 'P')",
     "file_last_wins": 'SELECT qid, row_id, name, "desc" FROM items WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY row_id DESC) = 1',
     "nt_file_edges": """SELECT row_number() OVER (ORDER BY pos) - 1 AS place, subj, rel, obj FROM triples
 WHERE regexp_matches(subj, '^[PQ][0-9]') AND regexp_matches(rel, '^[PQ][0-9]') AND regexp_matches(obj, '^[PQ][0-9]')""",
