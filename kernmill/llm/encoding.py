@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -194,6 +194,11 @@ def _buckets() -> np.ndarray:
 _BUCKET = _buckets()
 
 
+def _strange(text: str) -> int:
+    """Number of non-ASCII characters."""
+    return len(text) - len(text.encode("ascii", "ignore"))
+
+
 def _framed(text: str) -> bytes:
     return b"\x02" + text.encode("utf-8", "surrogatepass") + b"\x03"
 
@@ -210,9 +215,10 @@ def _features(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log probabilities: (bucket, class)."""
+    """Log probabilities: (bucket, class); verdicts on words are kept up to a bound."""
 
     weights: np.ndarray
+    known: dict = field(default_factory=dict)
 
     def scores(self, text: str) -> np.ndarray:
         """Log probability of a text under each class, from the byte bigrams alone."""
@@ -326,7 +332,7 @@ def _whole(text: str, model: Model, few: bool = False, scores: np.ndarray | None
             gain = model.clean(fixed) - model.clean(text)
             if few and (gain < MIN_GAIN_FEW or CHAINS[c][0][0] not in MULTI_BYTE):
                 continue
-        if not _reads(text, fixed, c, gain, sum(ord(ch) > 127 for ch in fixed)):
+        if not _reads(text, fixed, c, gain, _strange(fixed)):
             continue
         score = odds[k + 1] + (PRIOR_STRICT_UTF8 if c in UTF8_CHAINS else 0) + WEIGHT_EASE * gained
         if score > best[0]:
@@ -368,6 +374,16 @@ def _still_damaged(words: list[str], chain: str) -> bool:
     return any(_CUT_OFF.search(x) for x in rest)
 
 
+def _cached_whole(word: str, model: Model) -> tuple[str, str | None]:
+    """``_whole`` of a single word; words repeat far more than values."""
+    said = model.known.get(word)
+    if said is None:
+        if len(model.known) > 50_000:
+            model.known.clear()
+        said = model.known[word] = _whole(word, model, True)
+    return said
+
+
 def _words(text: str, model: Model) -> tuple[str, str | None]:
     """Damage of some words only: first all non-ASCII words together, then each by itself."""
     words = text.split(" ")
@@ -377,7 +393,7 @@ def _words(text: str, model: Model) -> tuple[str, str | None]:
     if len(strange) < len(words):
         joined = " ".join(words[i] for i in strange)
         # a short Latin word may consist of accented letters only
-        chain, fixed = _whole(joined, model, sum(not ch.isascii() for ch in joined) < FEW_SIGNS)
+        chain, fixed = _whole(joined, model, _strange(joined) < FEW_SIGNS)
         parts = fixed.split(" ") if fixed else []
         if len(parts) == len(strange):
             for i, w in zip(strange, parts):
@@ -385,7 +401,7 @@ def _words(text: str, model: Model) -> tuple[str, str | None]:
             return chain, " ".join(words)
     first, left = CLEAN, []
     for i in strange if len(strange) > 1 else ():
-        chain, fixed = _whole(words[i], model, True)
+        chain, fixed = _cached_whole(words[i], model)
         if chain != CLEAN:
             words[i] = fixed
             first = chain if first == CLEAN else first
@@ -432,7 +448,7 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
     if not text or text.isascii():
         return CLEAN, None
     beside = any(w.isascii() and w.isalpha() for w in text.split(" "))
-    few = beside and sum(not ch.isascii() for ch in text) < FEW_SIGNS
+    few = beside and _strange(text) < FEW_SIGNS
     scores = model.scores(text)
     chain, fixed = _whole(text, model, few, scores)
     if chain == CLEAN:
