@@ -83,3 +83,32 @@ def test_stages_end_to_end(spark, tmp_path):
     titles = spark.createDataFrame([("A_&_B", "Q1")], "title string, qid string")
     art = pipeline.build_articles(pages.select("id", "title", "text"), titles)
     assert art.collect()[0]["text"] == [["A is ."], ["See Cs ."]]
+
+
+def test_database_tables(spark, tmp_path):
+    """A table of a database through JDBC, columns and filters pushed down; skipped where no driver comes with Spark."""
+    import glob
+    import os
+
+    import pyspark
+
+    if not glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "derby-*.jar")):
+        import pytest
+
+        pytest.skip("no JDBC driver here")
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    page = spark.createDataFrame([(1, "A", 0, 0), (2, "B", 0, 1), (3, None, 4, 0)], "page_id long, page_title string, page_namespace int, page_is_redirect int")
+    page.write.jdbc(url, "page", mode="overwrite")
+    got = readers.read_table(spark, url, "page", ["page_id", "page_title"])
+    assert sorted(map(tuple, got.where("page_id < 3").collect())) == [(1, "A"), (2, "B")]
+    assert "PushedFilters" in got.where("page_id < 3")._jdf.queryExecution().toString()
+
+
+def test_samples_by_hash_are_bounded(spark):
+    from kernmill.session import hashed_sample
+
+    d = spark.range(1000).selectExpr("id % 400 as k", "id as v")
+    a, b = (sorted(map(tuple, hashed_sample(x, "k", 50).select("k").collect())) for x in (d, d.repartition(7)))
+    assert a == b and len(a) == 50
+    same = spark.range(1000).selectExpr("1 as k", "id as v")
+    assert hashed_sample(same, "k", 50).count() == 50 and hashed_sample(d.limit(0), "k", 5).count() == 0
