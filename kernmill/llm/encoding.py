@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kernmill.session import hashed_sample
+
 BUCKETS = 8192
 #: Rows the classifier is fitted on, those with the smallest hashed row number.
 TRAIN_ROWS = 3_000
@@ -466,12 +468,8 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
 
 def train(items: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on the name, desc and aka values of ``train_rows`` rows."""
-    rows = (
-        items.select("row_id", F.concat(F.array("name", "desc"), F.coalesce("aka", F.array().cast("array<string>"))).alias("v"))
-        .orderBy(F.xxhash64("row_id"), "row_id")
-        .limit(train_rows)
-        .collect()
-    )
+    values = F.concat(F.array("name", "desc"), F.coalesce("aka", F.array().cast("array<string>")))
+    rows = hashed_sample(items.select("row_id", *FIELDS), "row_id", train_rows).select(values.alias("v")).collect()
     return fit([x for r in rows for x in r["v"] if x])
 
 
