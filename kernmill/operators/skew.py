@@ -103,8 +103,9 @@ def number_rows(df: DataFrame, key: list[str], order: list[str], partitions: int
     return running_total(df, key, order, None, "_rank", partitions)
 
 
-def top_k_per_key(df: DataFrame, key: list[str], order: list, k: int, salts: int = 32) -> DataFrame:
-    """The first ``k`` rows of each key, in two steps so that a hot key is spread over ``salts`` tasks."""
+def top_k_per_key(df: DataFrame, key: list[str], order: list, k: int, salts: int | None = None) -> DataFrame:
+    """The first ``k`` rows of each key, in two steps so that a hot key is spread over ``salts`` tasks (as many as shuffle partitions)."""
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int")
     first = Window.partitionBy(*key, "_salt").orderBy(*order)
     last = Window.partitionBy(*key).orderBy(*order)

@@ -45,6 +45,10 @@ def p1_aliases(spark, sf):
     return nested.shred(_raw(spark, sf), "aliases")
 
 
+def p1_triples(spark, sf):
+    return nested.shred(_raw(spark, sf), "triples")
+
+
 def p1_nodes(spark, sf):
     return nested.shred(_raw(spark, sf), "nodes")
 
@@ -87,6 +91,7 @@ QUERIES = {
     "p1_links": p1_links,
     "p1_contexts": p1_contexts,
     "p1_aliases": p1_aliases,
+    "p1_triples": p1_triples,
     "p1_nodes": p1_nodes,
     "p2_found": p2_found,
     "p2_profile": p2_profile,
@@ -206,6 +211,12 @@ FROM rec""",
 , k AS (SELECT line_no, e, list_position(json_keys(e), 'aka') - 1 AS aka_at FROM rec WHERE json_type(e->'aka') = 'ARRAY')
 SELECT line_no, aka_at || '.' || i AS dewey, CAST(aka_at AS VARCHAR) AS parent, CAST(i AS BIGINT) AS alias_no, (e->'aka')->>i AS alias
 FROM (SELECT *, unnest(range(json_array_length(e->'aka')::BIGINT)) AS i FROM k)""",
+    "p1_triples": _P1
+    + """
+, k AS (SELECT line_no, e, list_position(json_keys(e), 'triples') - 1 AS t_at FROM rec WHERE json_type(e->'triples') = 'ARRAY')
+SELECT line_no, t_at || '.' || i AS dewey, CAST(t_at AS VARCHAR) AS parent, CAST(i AS BIGINT) AS triple_no,
+  coalesce(x->>'subj', x->>'$[0]') AS subj, coalesce(x->>'rel', x->>'$[1]') AS rel, coalesce(x->>'obj', x->>'$[2]') AS obj
+FROM (SELECT line_no, t_at, i, (e->'triples')->i AS x FROM (SELECT *, unnest(range(json_array_length(e->'triples')::BIGINT)) AS i FROM k))""",
     "p2_found": _P2
     + """
 SELECT field, qid FROM e GROUP BY field, qid
