@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernmill.operators import hierarchy, hotkeys, nested
-from kernmill.session import read_spread
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -14,7 +13,7 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def _raw(spark, sf):
-    return read_spread(spark, f"{sf}/merged_raw.parquet")
+    return _read(spark, sf, "merged_raw")
 
 
 def p1_found(spark, sf):
