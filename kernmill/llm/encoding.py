@@ -77,6 +77,7 @@ CHAINS = {
     "euckr-as-latin1": (("euc-kr", "latin-1"),),
     "cp866-as-cp1251": (("cp866", "cp1251"),),
     "cp1250-as-latin1": (("cp1250", "latin-1"),),
+    "cp1252-as-latin1": (("cp1252", "latin-1"),),
     "cp1252-as-macroman": (("cp1252", "mac_roman"),),
     "latin1-as-cp437": (("latin-1", "cp437"),),
 }
@@ -299,6 +300,11 @@ def _reads(text: str, fixed: str, chain: str, gain: float, lost: int) -> bool:
     chains, else of the whole log probability), or several intact western sequences speak for it."""
     if _mixed(fixed):
         return False
+    if chain == "cp1252-as-latin1":
+        # control codes are never genuine
+        return bool(_C1.search(text)) and not _C1.search(fixed)
+    if chain in SWAPPING and gain > 0 and _CASE_BREAK.search(text) and not _CASE_BREAK.search(fixed):
+        return True
     if chain in LATIN_CHAINS or chain in SWAPPING:
         return gain >= MIN_GAIN_SWAP and not _CASE_BREAK.search(fixed)
     if chain not in UTF8_CHAINS and not all(_single_script(w) for w in fixed.split(" ") if not w.isascii()):
@@ -332,7 +338,7 @@ def _whole(text: str, model: Model, few: bool = False, scores: np.ndarray | None
         gain = gained - ease
         if c not in UTF8_CHAINS and c not in LATIN_CHAINS and c not in SWAPPING:
             gain = model.clean(fixed) - model.clean(text)
-            if few and (gain < MIN_GAIN_FEW or CHAINS[c][0][0] not in MULTI_BYTE):
+            if few and c != "cp1252-as-latin1" and (gain < MIN_GAIN_FEW or CHAINS[c][0][0] not in MULTI_BYTE):
                 continue
         if not _reads(text, fixed, c, gain, _strange(fixed)):
             continue
@@ -346,7 +352,7 @@ _NAMES = list(CHAINS)
 
 
 def _priors(legacy: float) -> np.ndarray:
-    return np.array([PRIOR_STRICT_UTF8 if c in UTF8_CHAINS else -(max(legacy, MIN_ODDS_LATIN) if c in LATIN_CHAINS else legacy) for c in CHAINS])
+    return np.array([PRIOR_STRICT_UTF8 if c in UTF8_CHAINS or c == "cp1252-as-latin1" else -(max(legacy, MIN_ODDS_LATIN) if c in LATIN_CHAINS else legacy) for c in CHAINS])
 
 
 _PRIOR, _PRIOR_FEW = _priors(MIN_ODDS_LEGACY), _priors(MIN_ODDS_SHORT)

@@ -59,6 +59,13 @@ def test_every_chain_inverts_what_it_garbles(words):
                 assert E.restore(g, chain) == w
 
 
+@pytest.mark.parametrize("good, chain", [
+    ("tower of Loum ’s quarter", "cp1252-as-latin1"), ("capital – seat of the court", "cp1252-as-latin1"), ("Хиналя", "koi8r-as-cp1251"),
+])
+def test_signs_and_swapped_letters(model, good, chain):
+    assert E.judge(E.garble(good, chain), model) == (chain, good)
+
+
 def test_lossy_and_edges(model):
     assert E.judge("P�s", model) == ("lossy", None)
     for v in (None, "", "plain", "SÃO Paulo", "© X 1634", "90 °C", "–"):
