@@ -33,7 +33,7 @@ FEW_SIGNS, MIN_ODDS_SHORT, MIN_ODDS_LATIN = 6, 20.0, 30.0
 #: and the restored text must be so much likelier as a clean one.
 MIN_GAIN_FEW = 30.0
 #: By how much the mean log probability must rise where a chain only swaps letters of one alphabet.
-MIN_GAIN_SWAP = 0.5
+MIN_GAIN_SWAP = 1.5
 MIN_ODDS_LOSSY = 12.0
 PRIOR_STRICT_UTF8 = 7.0
 #: Weight of the mean log probability of a restored text against the odds of its chain.
