@@ -2,8 +2,8 @@
 
 Every description and sentence is a segment, and evidence is weighed for each of
 them.  The segment's terms are compared with those of its slug (the record's title)
-and of its body (the record's other segments); with the slug's terms masked its
-shape is counted over all titles and hosts (the record's source).  A segment that
+and of its body (the record's other segments); its shape, the slug's terms left out,
+is counted over all titles and hosts (the record's source).  A segment that
 recurs under several titles and hosts, shares no term with its own title or body and
 whose words hardly occur outside it says nothing about any of them: it is a
 duplicated response, whatever its language.  Detectors for placeholders, filler,
@@ -178,9 +178,9 @@ def graded(segs: DataFrame) -> DataFrame:
     """All segments with what the detectors and the terms say.
 
     ``firm`` (kind of residue or null), ``loose`` (words addressed to a reader),
-    ``reader`` (nothing but such), ``shape`` (hash of the words and numbers with the
-    slug's terms masked), ``own`` (shares a term with its slug), ``terms`` (its
-    distinct content words), ``size`` (their number).
+    ``reader`` (nothing but such), ``shape`` (hash of the distinct words but the slug's
+    terms, and of the numbers), ``own`` (shares a term with its slug), ``terms`` (its
+    distinct content words), ``size`` (number of distinct words, as far as it matters).
     """
     s, w = F.col("seg"), F.col("_w")
     known = [*TRIGGER_WORDS, *FILLER_LATIN]
@@ -198,20 +198,21 @@ def graded(segs: DataFrame) -> DataFrame:
         .when(_any(s, ADVICE, "(?iU)") & ~F.arrays_overlap(w, F.col("_slug")), "notice")
         .when(_any(s, ERRORS, "(?iU)") & ~s.rlike(r"(?i)\bshows? (?:an |the )?error"), "error")
     )
-    terms = F.array_except(w, F.lit(FUNCTION_WORDS))
-    masked = F.transform(w, lambda x: F.when(F.array_contains("_slug", x), "*").otherwise(x))
-    numbers = F.regexp_replace(s, "[^0-9]+", " ")
+    numbers = F.when(s.rlike("[0-9]"), F.regexp_replace(s, "[^0-9]+", " ")).otherwise("")
     return (
         segs.withColumn("_w", _words(s))
-        .withColumn("_called", called)
+        .withColumns({"_called": called, "_distinct": F.array_distinct(w)})
+        .withColumn("_rest", F.array_except("_distinct", "_slug"))
         .withColumn("loose", F.col("_called") & _any(s, LOOSE, "(?iU)"))
         .select(
             "rec_id", "field", "host", F.xxhash64("title").alias("title"), "beside", firm.alias("firm"), "loose",
             (F.col("loose") & (F.size(F.array_except(w, F.lit([*READER_WORDS, *FUNCTION_WORDS]))) == 0) & (_any(s, LOOSE[:2], "(?iU)") | s.rlike(r"\d"))).alias("reader"),
-            F.xxhash64(F.array_join(masked, " "), numbers).alias("shape"), (F.size(F.array_intersect(w, F.col("_slug"))) > 0).alias("own"),
-            terms.alias("terms"),
+            F.xxhash64(F.array_join("_rest", " "), numbers).alias("shape"), (F.size("_rest") < F.size("_distinct")).alias("own"),
+            F.filter("_distinct", lambda x: ~x.isin(FUNCTION_WORDS)).alias("terms"),
             # scripts without blanks: three letters pass for a word
-            (F.size(terms) + F.length(F.regexp_replace(s, UNSPACED, "")) / 3).cast("int").alias("size"),
+            F.when(F.size("_distinct") >= DESC_WORDS, F.size("_distinct"))
+            .otherwise((F.size("_distinct") + F.length(F.regexp_replace(s, UNSPACED, "")) / 3).cast("int"))
+            .alias("size"),
         )
     )
 
