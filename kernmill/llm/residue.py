@@ -130,9 +130,9 @@ TRIGGER_SIGNS = r"[{}<>\[\]%$@_|]|#[A-Z{]|\bNaN\b|\b(?:TODO|FIXME|TBD|TBA)\b|X{3
 FIRM = {"placeholder": 3.0, "filler": 2.5, "notice": 2.5, "error": 2.5}
 OWN_TITLE, READER_ONLY, BESIDE_TEXT, BESIDE_FIRM, PER_TITLES, PER_HOSTS = -1.0, 1.1, 0.5, 0.5, 1.0, 0.25
 ENOUGH = 1.58
-#: A duplicated response without any detector: this much of titles and hosts, this part of its words' occurrences in it, so many
-#: words in a description (of which a word or two may be shared by many records of a kind).
-ENOUGH_ALONE, CLOSED, DESC_WORDS = 2.25, 0.5, 3
+#: A duplicated response without any detector: this much of titles and hosts, this part of its words' occurrences in it, and so many
+#: content words in a description (a word or two may be shared by all records of a kind) or a sentence (headings recur as well).
+ENOUGH_ALONE, CLOSED, DESC_WORDS, TEXT_WORDS = 2.25, 0.5, 4, 3
 
 
 #: All but letters of scripts that write without blanks.
@@ -180,7 +180,7 @@ def graded(segs: DataFrame) -> DataFrame:
     ``firm`` (kind of residue or null), ``loose`` (words addressed to a reader),
     ``reader`` (nothing but such), ``shape`` (hash of the distinct words but the slug's
     terms, and of the numbers), ``own`` (shares a term with its slug), ``terms`` (its
-    distinct content words), ``size`` (number of distinct words, as far as it matters).
+    distinct content words), ``size`` (their number, as far as it matters).
     """
     s, w = F.col("seg"), F.col("_w")
     known = [*TRIGGER_WORDS, *FILLER_LATIN]
@@ -202,16 +202,16 @@ def graded(segs: DataFrame) -> DataFrame:
     return (
         segs.withColumn("_w", _words(s))
         .withColumns({"_called": called, "_distinct": F.array_distinct(w)})
-        .withColumn("_rest", F.array_except("_distinct", "_slug"))
+        .withColumns({"_rest": F.array_except("_distinct", "_slug"), "terms": F.filter("_distinct", lambda x: ~x.isin(FUNCTION_WORDS))})
         .withColumn("loose", F.col("_called") & _any(s, LOOSE, "(?iU)"))
         .select(
             "rec_id", "field", "host", F.xxhash64("title").alias("title"), "beside", firm.alias("firm"), "loose",
             (F.col("loose") & (F.size(F.array_except(w, F.lit([*READER_WORDS, *FUNCTION_WORDS]))) == 0) & (_any(s, LOOSE[:2], "(?iU)") | s.rlike(r"\d"))).alias("reader"),
             F.xxhash64(F.array_join("_rest", " "), numbers).alias("shape"), (F.size("_rest") < F.size("_distinct")).alias("own"),
-            F.filter("_distinct", lambda x: ~x.isin(FUNCTION_WORDS)).alias("terms"),
+            "terms",
             # scripts without blanks: three letters pass for a word
-            F.when(F.size("_distinct") >= DESC_WORDS, F.size("_distinct"))
-            .otherwise((F.size("_distinct") + F.length(F.regexp_replace(s, UNSPACED, "")) / 3).cast("int"))
+            F.when(F.size("terms") >= DESC_WORDS, F.size("terms"))
+            .otherwise((F.size("terms") + F.length(F.regexp_replace(s, UNSPACED, "")) / 3).cast("int"))
             .alias("size"),
         )
     )
@@ -263,7 +263,7 @@ def find_residue(merged: DataFrame) -> DataFrame:
     in_row = firm.select("rec_id", F.lit(BESIDE_FIRM).alias("_firm")).distinct()
     addressed = reader.join(in_row, "rec_id", "left").where(said + F.coalesce("_firm", F.lit(0.0)) + F.col("_spread") >= ENOUGH)
     # responses no detector knows: closed vocabulary, nothing of the own title or body
-    least = F.when(F.col("field") == "desc", DESC_WORDS).otherwise(1)
+    least = F.when(F.col("field") == "desc", DESC_WORDS).otherwise(TEXT_WORDS)
     alone = dup.where(~F.col("own") & (F.col("closed") >= CLOSED) & (F.col("hosts") > 1) & (spread >= ENOUGH_ALONE) & (F.col("size") >= least))
     body = g.select("rec_id", F.col("shape").alias("_other"), F.col("terms").alias("_body"))
     known = alone.join(body, "rec_id").where((F.col("shape") != F.col("_other")) & F.arrays_overlap("terms", "_body"))

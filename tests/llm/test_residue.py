@@ -119,3 +119,8 @@ def test_residue_in_part_of_a_description(spark):
     for t in ("village on the long southern coast of a northern lake . Page not found .", "An orchid of the coast described in the year 1900. Lorem ipsum dolor sit amet.",
               "湖の近くの村。{{ item.desc }}"):
         assert _found(spark, [(1, "T", None, t, None, None)]).keys() == {(1, "desc")}, t
+
+
+def test_short_descriptions_and_headings_recur_without_being_residue(spark):
+    rows = [(i, f"Ort{i}", None, "function with values in { 0 , 1 }", [["References", f"Ort{i} maps numbers ."]], "abc"[i % 3]) for i in range(40)]
+    assert _found(spark, rows) == {}
