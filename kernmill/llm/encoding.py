@@ -222,6 +222,11 @@ class Model:
 
     weights: np.ndarray
     known: dict = field(default_factory=dict)
+    #: The most that one bigram can speak for a chain.
+    widest: float = 0.0
+
+    def __post_init__(self):
+        self.widest = float((self.weights[:, 1:-1] - self.weights[:, :1]).max())
 
     def scores(self, text: str) -> np.ndarray:
         """Log probability of a text under each class, from the byte bigrams alone."""
@@ -292,6 +297,7 @@ _WESTERN_RUNS = [
     for c, ((_, w), *more) in CHAINS.items()
     if c in WESTERN and not more
 ]
+_ANY_RUN = re.compile("|".join(p.pattern for _, p, _ in _WESTERN_RUNS))
 #: Closing signs that may follow a genuine letter where the opening one stands in the text.
 PAIRED = {"«": "»", "“": "”", "„": "“”", "‘": "’", "‹": "›"}
 
@@ -392,13 +398,17 @@ def _cached_whole(word: str, model: Model) -> tuple[str, str | None]:
     return said
 
 
-def _words(text: str, model: Model) -> tuple[str, str | None]:
-    """Damage of some words only: first all non-ASCII words together, then each by itself."""
+def _words(text: str, model: Model, odds: np.ndarray) -> tuple[str, str | None]:
+    """Damage of some words only: first all non-ASCII words together, then each by itself.
+
+    ``odds`` are those of the whole text.  All non-ASCII words together have its bigrams
+    but for the four at their ends, so where no chain is near enough they need no look.
+    """
     words = text.split(" ")
     strange = [i for i, w in enumerate(words) if not w.isascii()]
     if len(words) == 1:
         return CLEAN, None
-    if len(strange) < len(words):
+    if len(strange) < len(words) and (odds[1:-1] + _PRIOR).max() > -4 * model.widest:
         joined = " ".join(words[i] for i in strange)
         # a short Latin word may consist of accented letters only
         chain, fixed = _whole(joined, model, _strange(joined) < FEW_SIGNS)
@@ -422,6 +432,8 @@ def _words(text: str, model: Model) -> tuple[str, str | None]:
 
 def _runs(text: str, model: Model) -> tuple[str, str | None]:
     """Intact two-byte sequences of a western chain between genuine or lossy signs."""
+    if not _ANY_RUN.search(text):
+        return CLEAN, None
     ease = model.ease(text)
     for chain, pattern, leads in _WESTERN_RUNS:
         hits = 0
@@ -460,7 +472,7 @@ def judge(text: str | None, model: Model) -> tuple[str, str | None]:
     scores = model.scores(text)
     chain, fixed = _whole(text, model, few, scores)
     if chain == CLEAN:
-        chain, fixed = _words(text, model)
+        chain, fixed = _words(text, model, scores - scores[0])
     if chain != CLEAN:
         return (LOSSY, None) if fixed and _LOST.search(fixed) else (chain, fixed)
     if _LOST.search(text):
