@@ -100,8 +100,7 @@ def p8_tight(spark, sf):
 
 
 def p9_found(spark, sf):
-    docs = _read(spark, sf, "documents")
-    return sentences.split_documents(docs, sentences.train(docs))
+    return sentences.find_sentences(_read(spark, sf, "documents"))
 
 
 def p9_sentences(spark, sf):

@@ -98,3 +98,53 @@ def test_tokens_begin_anew_after_a_stop_without_a_blank(model):
 
 def test_the_token_after_keeps_its_case():
     assert S._next("On") != S._next("on") and S._next("12") == S._next("34") and S._next("A") == "<I>"
+
+
+def test_training_covers_all_documents(spark):
+    """An abbreviation is learned where it stands only in documents beyond the first thousands, and in one very long text."""
+    line = lambda k, short: f"The mill met {short}. Fox{k} at the tower. Vrae{k} saw it."
+    plain = [f"The mill {k} is old.\nVrae{k % 50} lies near the tower." for k in range(7000)]
+    long = "\n".join(line(k % 50, "xq") for k in range(600))
+    assert len(long) > 20_000
+    late = "\n".join(line(k % 50, "zv") for k in range(300))
+    rows = [*enumerate(plain), (7000, long), (7001, late)]
+    model = S.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert model.base == S.fit([t for _, t in rows]).base
+    for short in ("xq", "zv"):
+        assert _cut(line(7, short), model) == [f"The mill met {short}. Fox7 at the tower.", "Vrae7 saw it."]
+    count = lambda token: list(model.seen.get(S._key(token)))
+    assert (count("xq"), count("zv"), count("old")) == ([600, 0], [300, 0], [7000, 7000])
+
+
+def test_training_does_not_depend_on_layout_or_place(spark, monkeypatch):
+    texts = [*TRAIN, None, "", "—\n“Ah. Oh!”\n5. Mai. x", "12. . 3? Ja"]
+    want = S.fit(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts, driver_cases, chars in ((1, 10**6, 10**6), (5, 10**6, 100), (3, 0, 300)):
+        monkeypatch.setattr(S, "STEPS", 120 if driver_cases else 6)
+        monkeypatch.setattr(S, "DRIVER_CASES", driver_cases)
+        monkeypatch.setattr(S, "CHUNK_CHARS", chars)
+        monkeypatch.setattr(S, "BLOCK_CASES", chars)
+        got = S.train(d.repartition(parts))
+        want = want if driver_cases else S.fit(texts)
+        assert got.base == want.base
+        assert (got.seen.keys == want.seen.keys).all() and (got.seen.counts == want.seen.counts).all()
+        assert (got.starts.keys == want.starts.keys).all() and (got.starts.counts == want.starts.counts).all()
+        assert (got.weights == want.weights).all()
+
+
+def test_habits_look_up_any_key():
+    h = S.Habits.of([5, -3, 9], [1, 2, 3], [4, 5, 6])
+    assert [h.get(k) for k in (-3, 5, 9, 4, 10, -9)] == [[2, 5], [1, 4], [3, 6], [0, 0], [0, 0], [0, 0]]
+    assert S.Habits.of([], [], []).get(1) == [0, 0]
+
+
+def test_staged_places_give_the_sentences_of_the_texts(spark, monkeypatch):
+    odd = [None, "", " \n ", "  . Foo. Bar", "“Oh.” x\n(Ah.) 5 (Oh.) 6", "He. ( a. ) ( b! ) “c.” « Il. » 7 “", "a\r\nb\rc. D", "ไป มา. ไป", "x. “\n) y", "「誰。」と", "Z. 5. ! ."]
+    rows = [(k % 40, t) for k, t in enumerate([*odd, *TRAIN])] + [(None, "A b. C d.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, S.split_documents(d, S.train(d)).collect()))
+    for chars in (10**6, 50):
+        monkeypatch.setattr(S, "CHUNK_CHARS", chars)
+        assert sorted(map(str, S.find_sentences(d.repartition(2)).collect())) == want
+    assert S.find_sentences(d.limit(0)).count() == 0
